@@ -28,10 +28,16 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, as a URI."""
+    root = shared_root(spark)
+    return f"{root if ':' in root.split('/')[0] else 'file://' + root}/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df to a table in the shared folder and reads it back: lineage is cut and lost executors cost nothing."""
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -52,3 +58,17 @@ def replaced(text: Column, chars: str, by: str = "") -> Column:
 def words(text: Column) -> Column:
     """The words of a text (null: none) as an array. Splitting at one plain character spares compiling a pattern for each row."""
     return F.array_remove(F.split(replaced(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", " "), " ", -1), "")
+
+
+def salted_left(rows: DataFrame, few: DataFrame, key: str, by: Column, salts: int = 16) -> DataFrame:
+    """rows left-joined with `few` (at most one row a key), each key dealt over `salts` partitions by the hash `by`: a hot key doesn't meet in one task."""
+    few = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("_salt", F.pmod(by, F.lit(salts)).cast("int")).join(few, [key, "_salt"], "left").drop("_salt")
+
+
+def small_batches(spark: SparkSession, rows: int = 512, megabytes: int = 16) -> None:
+    """Lowers the session's limits on what goes to a Python worker at once, so that batches of long texts fit in memory."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", megabytes << 20)):
+        now = spark.conf.get(key).removesuffix("b").strip()
+        if not now.isdigit() or int(now) <= 0 or int(now) > most:
+            spark.conf.set(key, str(most))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillframe.llm import chat, html_text, mixing, quality_rules, warc
+from quillframe.llm import chat, decontam, html_text, kn_quality, minhash, mixing, quality_rules, secret_scan, toxicity, warc
 from quillframe.llm.common import table
 
 QUERIES: dict = {}
@@ -47,6 +47,42 @@ def op4_format_chats(spark, sf_dir):
     return chat.format_digests(turns.unionByName(own))
 
 
+@query
+def op1_near_duplicates(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op6_decontaminate(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.find_leaks(docs, table(spark, sf_dir, "benchmark"))
+    leaks = F.col("leaks")
+    return found.select("doc_id", F.size(leaks).cast("long").alias("n_leaks"), F.transform(leaks, lambda x: x["item_id"]).alias("item_ids"), F.array_min(F.transform(leaks, lambda x: x["edits"])).alias("least_edits"), (F.size(leaks) == 0).alias("kept"))
+
+
+@query
+def op7_scan_secrets(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secret_scan.scan(docs, secret_scan.train(secret_scan.labelled_findings(spark)))
+    n = F.size(F.filter("findings", lambda e: e["secret"]))
+    return found.select("doc_id", F.size("findings").cast("long").alias("n_candidates"), n.cast("long").alias("n_secrets"), F.transform(F.filter("findings", lambda e: e["secret"]), lambda e: F.sha2(e["value"], 256)).alias("secret_digests"), F.length("clean_text").cast("long").alias("clean_chars"))
+
+
+@query
+def op8_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    out = toxicity.score_toxicity(docs, model)
+    return out.select("doc_id", held_out.alias("held_out"), "score", "predicted", F.size("passages").cast("long").alias("n_passages"))
+
+
+@query
+def op9_kn_perplexity(spark, sf_dir):
+    trusted = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    return kn_quality.judge(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), trusted)
+
+
 ORACLE["op3_arc_to_warc"] = """
 WITH p AS (
   SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages

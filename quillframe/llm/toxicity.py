@@ -12,11 +12,13 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from quillframe.llm.common import small_batches
 
@@ -95,9 +97,11 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     toxic, other = Counter(), Counter()
     for b in batches:
         for text, label in zip(b["text"], b["toxic"], strict=True):
-            (toxic if label else other).update(TOKEN.findall(text.lower()))
+            (toxic if label else other).update(set(TOKEN.findall(text.lower())))
     names = list(toxic | other)
-    yield pd.DataFrame({"token": names, "toxic": [toxic[w] for w in names], "other": [other[w] for w in names]})
+    for k in range(0, len(names), 20_000):
+        part = names[k : k + 20_000]
+        yield pd.DataFrame({"token": part, "toxic": [toxic[w] for w in part], "other": [other[w] for w in part]})
 
 
 def _rate(values: np.ndarray, weights: np.ndarray) -> float:
@@ -134,11 +138,12 @@ def labelled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id").select("text", "toxic", "part")
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, least_count: int = 5, strength: float = 1000.0, z_least: float = 4.0, drift: float = 0.25) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, least_count: int = 3, strength: float = 0.1, by_chance: float = 5.0, least_odds: float = 1.5, drift: float = 0.25) -> Model:
     """Learns from at most `most` labelled rows whose crc32(doc_id) mod 5 is not 0; lang, source and doc_id are no inputs.
 
-    Seven tenths of the sample give the token counts, the rest the extreme-value distribution and the logistic weights. The bound
-    keeps what reaches the driver (tokens of the sample with least_count occurrences, and the calibration texts' features) and the
+    Seven tenths of the sample give the token counts, the rest the extreme-value distribution and the logistic weights. A token counts
+    once a text, as a burst in one text says little. The prior weighs `strength` of all counts. A token scores if its z-score is one
+    that at most by_chance of all tokens tested would reach by chance, and its log-odds are least_odds or more. The bound keeps what reaches the driver (tokens of the sample with least_count occurrences, and the calibration texts' features) and the
     model itself at a size that doesn't depend on the corpus. Without labels of both kinds the model scores everything 0 or so.
     """
     small_batches(docs.sparkSession)
@@ -150,8 +155,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, least_count: int
     # tokens that only harmless texts use can't score; the rest of the counts enters as one token
     toxic = np.append(rows["toxic"].to_numpy(float), (totals["toxic"] or 0) - rows["toxic"].sum())
     other = np.append(rows["other"].to_numpy(float), (totals["other"] or 0) - rows["other"].sum())
-    delta, z = log_odds(toxic, other, strength) if toxic.sum() and other.sum() else (np.zeros(len(toxic)), np.zeros(len(toxic)))
-    good = (z[:-1] >= z_least) & (delta[:-1] > 0.7)
+    delta, z = log_odds(toxic, other, strength * (toxic.sum() + other.sum())) if toxic.sum() and other.sum() else (np.zeros(len(toxic)), np.zeros(len(toxic)))
+    least = NormalDist().inv_cdf(1 - min(0.5, by_chance / max(len(rows), 1)))
+    good = (z[:-1] >= least) & (delta[:-1] >= least_odds)
     scores = {w: float(min(d, 8.0)) for w, d, g in zip(rows["token"], delta[:-1], good, strict=True) if g}
 
     bare = Model(scores, drift, 1.0, 1.0, (0.0,) * 4)
@@ -184,23 +190,22 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, least_count: int
     return Model(scores, drift, rate, scale, weights)
 
 
-PASSAGES = "score double, passages array<struct<start:int,end:int,score:double,expected:double>>"
-
-
 def scorer(model: Model):
-    @F.pandas_udf(PASSAGES)
-    def score(texts: pd.Series) -> pd.DataFrame:
+    """The score and, four numbers each, the significant passages (start, end, score, expected) of each text, in one flat array."""
+
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def score(texts: pd.Series) -> pd.Series:
         out = []
         for text in texts:
             n, segs, _ = model.found(text)
-            p = model.probability(model.features(n, segs))
+            row = [model.probability(model.features(n, segs))]
             good = [(a, b, s, e) for a, b, s in segs if (e := model.expected(n, s)) < model.significant]
-            passages = []
             if good:
                 spans = [m.span() for m in TOKEN.finditer(text.lower())]
-                passages = [{"start": spans[a][0], "end": spans[b][1], "score": s, "expected": e} for a, b, s, e in good]
-            out.append((p, passages))
-        return pd.DataFrame(out, columns=["score", "passages"])
+                for a, b, s, e in good:
+                    row += [float(spans[a][0]), float(spans[b][1]), s, e]
+            out.append(row)
+        return pd.Series(out, dtype=object)
 
     return score
 
@@ -215,4 +220,8 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     small_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c not in ("score", "predicted", "passages", "_toxicity")]
     out = docs.select(*kept, scorer(model)(F.coalesce("text", F.lit(""))).alias("_toxicity"))
-    return out.select(*kept, F.col("_toxicity.score").alias("score"), (F.col("_toxicity.score") >= 0.5).cast("int").alias("predicted"), F.col("_toxicity.passages").alias("passages"))
+    at = lambda k: F.element_at("_toxicity", k)
+    passage = lambda i: F.struct(at(4 * i + 2).cast("int").alias("start"), at(4 * i + 3).cast("int").alias("end"), at(4 * i + 4).alias("score"), at(4 * i + 5).alias("expected"))
+    n = ((F.size("_toxicity") - 1) / 4).cast("int")
+    passages = F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), passage)
+    return out.select(*kept, at(1).alias("score"), (at(1) >= 0.5).cast("int").alias("predicted"), passages.alias("passages"))

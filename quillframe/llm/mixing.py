@@ -101,7 +101,8 @@ def mix_sources(docs: DataFrame, weights=(5, 2, 1), cap: int = 3, block_words: i
     )
 
     times = slots.groupBy("source_id", "block").agg(F.count("*").alias("times"))
-    taken = spans.join(times, ["source_id", "block"]).groupBy("row").agg(F.sum(F.col("part") * F.col("times")).alias("taken"))
+    # the planner takes what a few chunks explode into for small; the hint keeps it from broadcasting that
+    taken = spans.join(times.hint("merge"), ["source_id", "block"]).groupBy("row").agg(F.sum(F.col("part") * F.col("times")).alias("taken"))
     result = (
         sized.join(taken, "row", "left")
         .join(small(sources.select(F.col("source").alias("_s"), "source_size", "target")), F.col("source").eqNullSafe(F.col("_s")))

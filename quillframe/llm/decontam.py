@@ -179,7 +179,7 @@ def _finder(ix: Index):
     @F.pandas_udf(LEAKS)
     def find(texts: pd.Series) -> pd.Series:
         found = leaks([normal(t) for t in texts], ix)
-        return pd.Series([[{"item_id": i, "edits": e, "start": a, "end": b} for i, e, a, b in sorted(x)] for x in found])
+        return pd.Series([[{"item_id": i, "edits": e, "start": a, "end": b} for i, e, a, b in sorted(x)] for x in found], dtype=object)
 
     return find
 

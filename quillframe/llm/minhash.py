@@ -129,7 +129,7 @@ def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for k, i in enumerate(ids):
                 groups.setdefault(u.find(k), []).append(i)
             out += [g for g in groups.values() if len(g) > 1]
-        yield pd.DataFrame({"ids": out})
+        yield pd.DataFrame({"ids": pd.Series(out, dtype=object)})
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:

@@ -165,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, least_count: int
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             got = [bare.found(t) for t in b["text"]]
-            yield pd.DataFrame({"toxic": b["toxic"].astype("int64"), "n": [n for n, _, _ in got], "at": [[float(v) for s in segs for v in s] for _, segs, _ in got], "hits": [[scores[w] for w in tokens if w in scores] for _, _, tokens in got]})
+            yield pd.DataFrame({"toxic": b["toxic"].astype("int64"), "n": [n for n, _, _ in got], "at": pd.Series([[float(v) for s in segs for v in s] for _, segs, _ in got], dtype=object), "hits": pd.Series([[scores[w] for w in tokens if w in scores] for _, _, tokens in got], dtype=object)})
 
     held = sample.filter("part = 1").mapInPandas(measured, "toxic long, n long, at array<double>, hits array<double>").toPandas()
     triples = [[(int(a[k]), int(a[k + 1]), a[k + 2]) for k in range(0, len(a), 3)] for a in held["at"]]

@@ -34,8 +34,8 @@ LIMIT = 48
 NEAR, RING = 28, 14
 #: Below this level nodes have one child each; after the last, what is left is compared in blocks.
 BRANCHING, DEEPEST = 4, 24
-#: Ids up to this many are broadcast to choose texts (8 bytes each).
-BROADCAST_IDS = 2_000_000
+#: Rows of jobs up to this many are broadcast to choose texts (24 bytes each).
+BROADCAST_JOBS = 1_000_000
 
 _rng = np.random.default_rng(20)
 _MIX = (_rng.integers(1, 1 << 63, WORDS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -174,7 +174,9 @@ def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if held:
                     settle(pivot, held)
                 job, pivot, held = j, p, {}
-            held[int(i)] = shingles(text)
+            s = shingles(text)
+            if int(i) not in held or (len(s), s.tobytes()) < (len(held[int(i)]), held[int(i)].tobytes()):  # rows of one doc_id: the least set
+                held[int(i)] = s
         if len(out) > 10_000:
             yield pd.DataFrame(out, columns=["a", "b", "both", "either"])
             out.clear()
@@ -186,12 +188,11 @@ def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def confirmed(jobs: DataFrame, docs: DataFrame) -> DataFrame:
     """a, b, both, either of the pairs that full sets confirm. jobs: job, pivot, id; a job's rows go to one task and are few."""
     jobs = stored(jobs, "minhash-jobs")
-    ids = jobs.select("id").distinct()
-    few = ids.count() <= BROADCAST_IDS
+    few = jobs.count() <= BROADCAST_JOBS
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = texts.join(F.broadcast(ids) if few else ids, "id", "left_semi").dropDuplicates(["id"])
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = jobs.join(texts, "id").select("job", "pivot", "id", "text").repartition(n, "job").sortWithinPartitions("job")
+    # only texts that are in a job are shuffled, once
+    rows = texts.join(F.broadcast(jobs) if few else jobs, "id").select("job", "pivot", "id", "text").repartition(n, "job").sortWithinPartitions("job")
     return stored(rows.mapInPandas(_confirm, "a long, b long, both long, either long"), "minhash-links")
 
 

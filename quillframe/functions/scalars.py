@@ -90,6 +90,11 @@ def timestamp_millis(field: Column) -> Column:
     return F.when(x.rlike(_TIME), F.unix_millis(x.try_cast("timestamp"))).when(n.between(F.lit(0), F.lit(2**63 - 1)), n.cast("long"))
 
 
+def timestamp_seconds(field: Column) -> Column:
+    """Whole seconds since 1970 of a timestamp field, truncated."""
+    return F.floor(timestamp_millis(field) / 1000)
+
+
 def _exact(kind: str) -> str:
     return {"int8": "byte", "int16": "short", "int32": "int", "int64": "long", "uint8": "short", "uint16": "int", "uint32": "long", "uint64": "decimal(20,0)"}[kind]
 

@@ -120,10 +120,42 @@ class Reader:
         if held:
             yield held
 
+    def excluded(self, predicate: Predicate) -> DataFrame:
+        """Rows that pass the reader's predicate but not this one."""
+        self.filter(predicate)  # checks the columns
+        first = {n: F.col(f"_c{k}") for k, n in reversed(list(enumerate(self.rows.names)))}
+        return replace(self.rows, df=self._filtered().filter(~predicate.condition(first.__getitem__))).named()
+
+    def marked(self, predicate: Predicate, name: str = "marked") -> DataFrame:
+        """All rows, with a column that says whether the predicate holds."""
+        self.filter(predicate)
+        first = {n: F.col(f"_c{k}") for k, n in reversed(list(enumerate(self.rows.names)))}
+        return self._filtered().select(*[self.rows[c].alias(c) for c in self.rows.names], predicate.condition(first.__getitem__).alias(name))
+
+    def cursor(self) -> "Cursor":
+        return Cursor(self.tuples())
+
     def count(self) -> int:
         return self._filtered().count()
 
 
+class Cursor:
+    """Rows pulled once, in order."""
+
+    def __init__(self, rows: Iterator[tuple]):
+        self.rows = rows
+
+    def read_row(self) -> tuple | None:
+        return next(self.rows, None)
+
+    def read_chunk(self, most: int) -> list[tuple]:
+        """At most `most` rows; none is taken for 0, and the list is empty at the end."""
+        out: list[tuple] = []
+        while len(out) < most and (r := next(self.rows, None)) is not None:
+            out.append(r)
+        return out
+
+
 def reader(spark: SparkSession, source: str | os.PathLike | Iterable[str], dialect: d.Dialect | None = None, **keywords) -> Reader:
     """A reader of a path or of an iterable of text, which is written to the shared folder once. keywords: as Python's csv module."""
     made = dialect or d.python_dialect(**keywords)

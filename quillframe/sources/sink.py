@@ -62,3 +62,19 @@ def write(df: DataFrame, path: str, delimiter: str = ",", quote: str = '"', head
 
 def write_tsv(df: DataFrame, path: str, **options) -> None:
     write(df, path, delimiter="\t", **options)
+
+
+def write_rows(spark, path: str, rows, fieldnames=None, write_header: bool = True, minimal: bool = True, delimiter: str = ",") -> None:
+    """Writes Python rows (sequences or dicts; None and missing keys are empty, other values as str has them) as one file.
+
+    Names come from fieldnames or the first dict. No rows but fieldnames: the header alone.
+    """
+    rows = list(rows)
+    if fieldnames is None and rows and isinstance(rows[0], dict):
+        fieldnames = list(rows[0])
+    text = lambda v: "" if v is None else str(v)
+    data = [[text(r.get(n)) for n in fieldnames] if isinstance(r, dict) else [text(v) for v in r] for r in rows]
+    made = [list(map(str, fieldnames))] if fieldnames is not None and write_header else []
+    df = spark.createDataFrame([(k, r) for k, r in enumerate(made + data)], "ord long, fields array<string>")
+    fields = F.transform("fields", lambda x: quoted(x, delimiter, always=not minimal))
+    df.coalesce(1).sortWithinPartitions("ord").select(F.array_join(fields, delimiter).alias("value")).write.text(path)

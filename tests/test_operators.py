@@ -135,3 +135,20 @@ def test_inference(spark):
     assert [r[0] for r in fixed] == [0, 1, 0]
     assert infer.count_coerced(df.select("d"), {"d": "int64"}).first()[0] == 2
     assert infer.dtypes(df.limit(0)) == {c: "float64" for c in "abcd"}
+
+
+def test_rows_as_values(spark):
+    import datetime
+
+    from quillframe.functions import rows
+
+    df = spark.createDataFrame([("1", "x", "2")], "a string, b string, c string")
+    cols = [F.col(c) for c in "abc"]
+    assert df.select(rows.row_map("abc", cols, ["c", "a"])).first()[0] == {"c": "2", "a": "1"}
+    assert df.select(rows.row_slice(cols, -2)).first()[0] == ["x", "2"]
+    assert df.select(rows.row_array(cols)).first()[0] == ["1", "x", "2"]
+    with pytest.raises(KeyError):
+        rows.row_map("abc", cols, ["z"])
+    values = {"": None, " ": None, "true": True, "12": 12, "0x10": 16, "1.5": 1.5, "x": "x", "99999999999999999999": "99999999999999999999", "2024-01-02": datetime.datetime(2024, 1, 2), "2024-01-02T03:04:05Z": datetime.datetime(2024, 1, 2, 3, 4, 5), "2024-13-01": "2024-13-01"}
+    assert {k: rows.python_value(k) for k in values} == values
+    assert column(spark, ["1970-01-02T00:00:00.999Z"]).select(s.timestamp_seconds(F.col("x"))).first()[0] == 86400

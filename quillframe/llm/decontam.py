@@ -145,7 +145,14 @@ def leaks(texts: list[str], ix: Index) -> list[list[tuple[int, int, int, int]]]:
     band = diagonal // wide
     offset = 1 << 40
     key = item * (offset << 1) + band + (offset >> 1)
-    band_keys, counts = np.unique(np.concatenate([key, key - 1]), return_counts=True)  # each band overlaps the next by half
+    key = np.concatenate([key, key - 1])  # each band overlaps the next by half
+    place = np.concatenate([ix.place[entry]] * 2)
+    order = np.lexsort((place, key))
+    key, place = key[order], place[order]
+    new = np.append(True, key[1:] != key[:-1])
+    # the lemma counts q-grams of the item: one that a repetitive text holds many times counts once
+    counts = np.add.reduceat((new | np.append(True, place[1:] != place[:-1])).astype(np.int64), np.flatnonzero(new))
+    band_keys = key[new]
     items = band_keys // (offset << 1)
     good = np.flatnonzero(counts >= ix.least[items])
     if not len(good):

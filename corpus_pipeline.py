@@ -23,9 +23,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest doc_id stays."""
-    found = minhash.near_duplicates(docs)
-    gone = found.filter("not kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+    gone = stored(minhash.near_duplicates(docs).filter("not kept").select("doc_id").distinct(), "stage-gone")
+    few = gone.count() <= minhash.BROADCAST_JOBS  # ids of 8 bytes; more of them are joined by a shuffle
+    return docs.select(*COLUMNS).join(F.broadcast(gone) if few else gone, "doc_id", "left_anti")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

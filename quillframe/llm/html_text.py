@@ -25,20 +25,27 @@ RAW = frozenset("script style title textarea noscript iframe xmp noembed noframe
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody tfoot thead tr ul".split())
 CLOSES_P = BLOCK - {"body", "html", "tr", "tbody", "thead", "tfoot"}
 SAME = {"li": ("li", ("ul", "ol", "menu", "dir")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select", "datalist"))}
-#: Elements that are never part of an article, and words of a class or id that say the same or the opposite.
+#: Elements that are never part of an article; words of a class or id that say the same, or do unless a likely word stands with them.
 NOT_TEXT = frozenset("nav footer aside form button select dialog menu head object audio video canvas map figure input".split()) - {"figure"}
-UNLIKELY = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|sponsor\w*|promo\w*|sidebar|side-bar|rail|comment\w*|disqus|respond|repl(?:y|ies)|discussion|cookie\w*|consent|gdpr|notice\w*|alert|popup|modal|overlay|newsletter|subscri\w*|signup|social|share|sharing|related|recommend\w*|menu\w*|nav\w*|navbar|breadcrumb\w*|header|masthead|topbar|footer|foot|copyright|pagination|pager|widget\w*|toolbar|login|search)(?=$|[\s_-])", re.I)
+BESIDE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|sidebar|side-bar|comments?|commentlist|disqus|cookies?|consent|gdpr|popup|modal|newsletter|subscri\w*|social|sharing|related|recommend\w*|menus?|nav|navbar|navigation|breadcrumbs?|footer|pagination|pager|widgets?|toolbar)(?=$|[\s_-])", re.I)
+UNLIKELY = re.compile(r"(?:^|[\s_-])(?:rail|respond|repl(?:y|ies)|responses|discussion|notices?|alert|overlay|signup|share|header|masthead|topbar|foot|copyright|login|search)(?=$|[\s_-])", re.I)
 LIKELY = re.compile(r"(?:^|[\s_-])(?:article\w*|post|entry|content|story|main|body|text|blog)(?=$|[\s_-])", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert alertdialog form".split())
 
 
+#: Elements nested deeper than this, as browsers have it, lie beside each other.
+DEEPEST = 512
+
+
 class Node:
-    __slots__ = ("tag", "attrs", "children", "parent", "score", "size", "linked")
+    __slots__ = ("tag", "attrs", "children", "parent", "score", "size", "linked", "depth", "holds")
 
     def __init__(self, tag: str, attrs: str, parent: "Node | None"):
         self.tag, self.attrs, self.children, self.parent = tag, attrs, [], parent
         self.score = 0.0
         self.size = self.linked = 0
+        self.depth = parent.depth + 1 if parent else 0
+        self.holds = False  # an article or main below
 
     def attributes(self) -> dict[str, str]:
         return {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(self.attrs)} if "=" in self.attrs else {}
@@ -79,10 +86,15 @@ def parse(page: str) -> Node:
                 here = same.parent
         node = Node(tag, m[3], here)
         here.children.append(node)
+        if tag in ("article", "main"):
+            for x in _line(here):
+                if x.holds:
+                    break
+                x.holds = True
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
             at = end.end() if end else n
-        elif tag not in VOID and not m[3].endswith("/"):
+        elif tag not in VOID and not m[3].endswith("/") and node.depth < DEEPEST:
             here = node
     return root
 
@@ -115,8 +127,10 @@ def unlikely(node: Node) -> bool:
         return True
     if "display:none" in own.get("style", "").replace(" ", "").lower():
         return True
+    if node.holds:
+        return False  # a wrapper whose class tells of the layout
     name = f"{own.get('class', '')} {own.get('id', '')}"
-    return bool(UNLIKELY.search(name)) and not LIKELY.search(own.get("class", "") or own.get("id", ""))
+    return bool(BESIDE.search(name)) or bool(UNLIKELY.search(name)) and not LIKELY.search(name)
 
 
 def prune(root: Node) -> list[Node]:

@@ -24,6 +24,11 @@ def test_odd_pages(page, want):
     assert got == want or page == "<p title='x"
 
 
+def test_names_of_elements():
+    page = '<body><div class="content with-sidebar"><div class="sidebar"><p>side, side</p></div><article><div class="article-header"><h1>T</h1></div><p>One, two.</p><div class="post-comments"><p>me too, yes</p></div><aside>x</aside></article></div></body>'
+    assert html_text.main_text(page) == "T\n\nOne, two."
+
+
 def test_long_page_is_whole():
     page = "<body><nav>n</nav><article>" + "".join(f"<p>Paragraph {k}, with words.</p>" for k in range(20_000)) + "</article></body>"
     assert len(html_text.main_text(page).split("\n\n")) == 20_000

@@ -44,7 +44,7 @@ def test_very_long_text_takes_the_other_sort(spark):
 
 def test_verdicts(spark):
     good = "\n".join(" ".join(f"plain{k}word{j}" for j in range(12)) + "." for k in range(6))
-    bad_lines = "\n".join("Home | About | Contact | Shop | Cart %d" % k for k in range(20))
+    bad_lines = "\n".join(f"Home | About{k} | Contact{k} | Shop{k} | Cart{k}" for k in range(20))
     rows = [(1, good, "s"), (2, good + "\n" + bad_lines, "s"), (3, good.upper(), "s"), (4, "short text.", "s"), (None, None, None), (1, good, "s")]
     got = {(r["doc_id"], r["kept"], r["base_failed"]) for r in quality_rules.clean_lines(docs(spark, rows).withColumn("kept", F.lit("clash")).withColumn("_words", F.lit(1))).collect()}
     assert got == {(1, True, False), (2, False, False), (3, False, False), (4, False, True), (None, False, True)}

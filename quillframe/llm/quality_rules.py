@@ -36,7 +36,7 @@ def line_fails(line: Column, n_words: Column, symbols: Column, bangs: Column, te
         boilerplate = boilerplate | F.lower(line).contains(term)
     return (
         unfinished
-        | (symbols & (10 * _count(line, SYMBOLS) > chars))
+        | (symbols & ((10 * _count(line, SYMBOLS) > chars) | ((_count(line, "|") >= 2) & (3 * _count(line, "|") >= n_words))))
         | shouting
         | (bangs & (chars >= 20) & (20 * _count(line, "!") > chars))
         | ((chars < 60) & line.rlike(NAVIGATION))

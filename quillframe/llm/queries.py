@@ -119,6 +119,7 @@ FROM e GROUP BY conv_id
 _LINE_FAILS = r"""
   (n < 3 AND NOT regexp_matches(l, '[.!?:;")\]»…]\s*$'))
   OR 10 * (length(l) - length(translate(l, '#*$%&|<>', ''))) > length(l)
+  OR (length(l) - length(replace(l, '|', '')) >= 2 AND 3 * (length(l) - length(replace(l, '|', ''))) >= n)
   OR (length(l) >= 20 AND regexp_matches(l, '[A-Z]') AND NOT regexp_matches(l, '[a-z]'))
   OR (length(l) >= 20 AND 20 * (length(l) - length(replace(l, '!', ''))) > length(l))
   OR (length(l) < 60 AND regexp_matches(l, '(?i)^\W*(home|menu|login|log in|sign in|sign up|subscribe|next|previous|share|read more|skip to content|back to top|contact us|about us|site map)\b.{0,20}$'))

@@ -4,9 +4,9 @@ Documents descend trees: a node picks one or two coordinates of the min-wise sig
 its token there. Small nodes are compared exhaustively, independent trees are repeated to the target recall. Links are confirmed on
 full shingle sets, and only a spanning forest of a node's links leaves it, so no group is expanded into pairs.
 
-A node that is too large to compare is first compared with its smallest member, the pivot. Jaccard distance is a metric: where
-nothing lies between distance 1/4 and 1/2 of the pivot, no document linked with the pivot can be linked with one beyond, so all that
-are linked are settled and leave the node. The rest branch on.
+A node that is too large to compare is first compared with its smallest member, the pivot. Jaccard distance is a metric: a document
+linked with the pivot (within 1/4) can be linked with none beyond 1/2 of it. So what is linked with the pivot is compared with the
+ring between 1/4 and 1/2, in blocks, and leaves the node; the rest branch on.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ LIMIT = 48
 NEAR, RING = 28, 14
 #: Below this level nodes have one child each; after the last, what is left is compared in blocks.
 BRANCHING, DEEPEST = 4, 24
+#: Pairs of linked and ring documents of one pivot that are compared in blocks; of larger rings all members branch on.
+RING_PAIRS = 20_000_000
 #: Rows of jobs up to this many are broadcast to choose texts (24 bytes each).
 BROADCAST_JOBS = 1_000_000
 
@@ -240,10 +242,21 @@ def links(nodes: DataFrame, docs: DataFrame, limit: int = LIMIT, roots: int = RO
         star = confirmed(members.unionByName(pivots).select(F.xxhash64("pivot", "block", F.lit(2)).alias("job"), "pivot", "id"), docs)
         linked = F.col("both") * 100 >= F.col("either") * 75
         found.append(star.filter(linked).select("a", "b"))
+        # what is linked with the pivot against what lies in the ring around it, in blocks: then nothing that is linked has more to find
+        sizes = star.groupBy(F.col("a").alias("pivot")).agg(F.count_if(linked).alias("inner"), F.count_if(~linked).alias("ring"))
+        sizes = stored(sizes.withColumn("open", F.col("inner") * F.col("ring") > RING_PAIRS), "minhash-rings")
+        half, third = max(1, limit * 2 // 3), max(1, limit // 3)
+        both = sizes.filter("inner > 0 and ring > 0 and not open").select("pivot", F.ceil(F.col("inner") / half).cast("int").alias("inners"), F.ceil(F.col("ring") / third).cast("int").alias("rings"))
+        dealt = salted_left(star.select(F.col("a").alias("pivot"), F.col("b").alias("id"), linked.alias("linked")), both, "pivot", F.col("id")).filter("inners is not null")
+        mine = F.pmod(F.xxhash64("id", F.lit(5)), F.when(F.col("linked"), F.col("inners")).otherwise(F.col("rings"))).cast("int")
+        dealt = dealt.select("pivot", "id", "linked", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.when(F.col("linked"), F.col("rings")).otherwise(F.col("inners")) - 1)).alias("other"))
+        cell = F.xxhash64("pivot", F.when(F.col("linked"), F.col("mine")).otherwise(F.col("other")), F.when(F.col("linked"), F.col("other")).otherwise(F.col("mine")))
+        cells = dealt.select("id", cell.alias("path")).join(brief, "id").groupBy("path").agg(F.collect_list(F.struct("id", "brief")).alias("members"))
+        jobs.append(stored(_groups(cells), "minhash-groups"))
         state = large.join(star.select(F.col("a").alias("pivot"), F.col("b").alias("id"), linked.alias("linked")), ["pivot", "id"], "left")
-        state = stored(state.select("path", "id", F.when(F.col("id") == F.col("pivot"), True).otherwise(F.col("linked")).alias("linked")), "minhash-state")
-        ringed = state.groupBy("path").agg(F.max(F.col("linked").eqNullSafe(False)).alias("ring"))
-        rest = state.join(ringed, "path").filter("ring or linked is null").select("path", "id")
+        state = state.withColumn("linked", F.when(F.col("id") == F.col("pivot"), True).otherwise(F.coalesce("linked", F.lit(False))))
+        state = salted_left(state, sizes.filter("open").select("pivot", "open"), "pivot", F.col("id"))
+        rest = state.filter(~F.col("linked") | F.coalesce("open", F.lit(False))).select("path", "id")
         choice = lambda k: F.pmod(F.xxhash64("path", F.lit(10 + k)), F.lit(COORDINATES - roots)).cast("int") + roots
         child = lambda k: F.xxhash64("path", choice(k), F.element_at("tokens", choice(k) + 1))
         second = F.when((F.pmod(F.xxhash64("path", F.lit(9)), F.lit(3)) == 0) & (F.lit(level) < BRANCHING) & (choice(1) != choice(0)), child(1))

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillframe.llm.common import salted_left, small_batches, stored
@@ -32,8 +32,11 @@ ROOTS = 14
 LIMIT = 48
 #: Matching coordinates of 64 from which a pair is looked at: similarity 0.75 falls below 28 with probability 1e-7, 0.5 below 14 with 1e-6.
 NEAR, RING = 28, 14
-#: Below this level nodes have one child each; after the last, what is left is compared in blocks.
-BRANCHING, DEEPEST = 4, 24
+#: At this level what is still in large nodes is compared in blocks, all pairs of a node, so no pair parts more often than that, whatever
+#: the number of rows. Every second node above has two children: a pair of similarity 0.75 is parted in all trees with probability 4e-5.
+DEEPEST = 4
+#: Members of a block that meets other blocks: about the root of how many there are, so that rows and cells grow alike.
+LEAST_BLOCK, MOST_BLOCK = 24, 256
 #: Pairs of linked and ring documents of one pivot that are compared in blocks; of larger rings all members branch on.
 RING_PAIRS = 20_000_000
 #: Rows of jobs up to this many are broadcast to choose texts (24 bytes each).
@@ -143,6 +146,24 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sorted sets, by products of 0-1 matrices over runs of their common members."""
+    both = np.zeros((len(sets), len(sets)), np.float64)
+    _, at, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    common = np.cumsum(n > 1) - 1  # column of each member that two sets have
+    held = n[at] > 1
+    row, column = row[held], common[at[held]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for first in range(0, int(common[-1]) + 1, 4096):
+        lo, hi = np.searchsorted(column, (first, first + 4096))
+        m = np.zeros((len(sets), 4096), np.float32)
+        m[row[lo:hi], column[lo:hi] - first] = 1
+        both += m @ m.T
+    return both.astype(np.int64)
+
+
 def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows (job, pivot, id, text), sorted by job. Without a pivot: a spanning forest of the job's links. With one: each row against it."""
     out: list[tuple[int, int, int, int]] = []
@@ -158,15 +179,12 @@ def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             return
         ids = sorted(held)
         u = Union(len(ids))
-        for x in range(len(ids)):
-            a = held[ids[x]]
-            for y in range(x + 1, len(ids)):
-                b = held[ids[y]]
-                if 4 * min(len(a), len(b)) >= 3 * max(len(a), len(b)) and u.find(x) != u.find(y):
-                    both = overlap(a, b)
-                    if 100 * both >= 75 * (len(a) + len(b) - both):
-                        u.join(x, y)
-                        out.append((ids[x], ids[y], both, len(a) + len(b) - both))
+        n = np.array([len(held[i]) for i in ids])
+        both = overlaps([held[i] for i in ids])
+        either = n[:, None] + n - both
+        for x, y in np.argwhere(np.triu(100 * both >= 75 * either, 1)).tolist():
+            if u.join(x, y):
+                out.append((ids[x], ids[y], int(both[x, y]), int(either[x, y])))
 
     job, pivot, held = None, None, {}
     for batch in batches:
@@ -209,6 +227,12 @@ def _split(rows: DataFrame, limit: int) -> tuple[DataFrame, DataFrame, int]:
     return small, large, sizes.filter(F.col("n") > limit).count()
 
 
+def _blocks(n: Column, limit: int) -> Column:
+    """Into how many blocks n members are dealt."""
+    size = F.least(F.lit(MOST_BLOCK), F.greatest(F.lit(min(LEAST_BLOCK, limit // 2)), F.sqrt(n)))
+    return F.ceil(n / size).cast("int")
+
+
 def _groups(nodes: DataFrame) -> DataFrame:
     """Jobs (job, pivot, id) of the distinct groups of candidates in small nodes."""
     found = nodes.select("members").mapInPandas(_candidates, "ids array<long>").distinct()
@@ -225,8 +249,8 @@ def links(nodes: DataFrame, docs: DataFrame, limit: int = LIMIT, roots: int = RO
         if not n_large:
             break
         large = stored(large, "minhash-large")
-        if level >= DEEPEST:  # what no token parts is compared block by block with all of its node
-            counts = large.groupBy("path").agg(F.ceil(F.count("*") / (limit // 2)).cast("int").alias("blocks"))
+        if level >= DEEPEST:  # compared block by block with all of its node
+            counts = large.groupBy("path").agg(_blocks(F.count("*"), limit).alias("blocks"))
             dealt = large.join(counts, "path").withColumn("own", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int"))
             dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             dealt = dealt.select("id", F.xxhash64("path", F.least("own", "other"), F.greatest("own", "other")).alias("path")).join(nodes.select("id", "brief"), "id")
@@ -259,7 +283,7 @@ def links(nodes: DataFrame, docs: DataFrame, limit: int = LIMIT, roots: int = RO
         rest = state.filter(~F.col("linked") | F.coalesce("open", F.lit(False))).select("path", "id")
         choice = lambda k: F.pmod(F.xxhash64("path", F.lit(10 + k)), F.lit(COORDINATES - roots)).cast("int") + roots
         child = lambda k: F.xxhash64("path", choice(k), F.element_at("tokens", choice(k) + 1))
-        second = F.when((F.pmod(F.xxhash64("path", F.lit(9)), F.lit(3)) == 0) & (F.lit(level) < BRANCHING) & (choice(1) != choice(0)), child(1))
+        second = F.when((F.pmod(F.xxhash64("path", F.lit(9)), F.lit(2)) == 0) & (choice(1) != choice(0)), child(1))
         rows = stored(rest.join(nodes, "id").select("id", "brief", F.explode(F.array_compact(F.array(child(0), second))).alias("path")), "minhash-rows")
         level += 1
     all_jobs = jobs[0]

@@ -71,6 +71,26 @@ def test_near_duplicates_odd_rows(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_near_duplicates_among_many_alike(spark):
+    """Linked pairs among texts that share a template with them (similarity about 0.6, no links): the nodes stay large for many levels."""
+    rng = random.Random(11)
+    template, rows = words(rng, 120), []
+    for k in range(0, 500, 2):
+        own = words(rng, 42)
+        rows.append((k, " ".join(template + own)))
+        rows.append((k + 1, " ".join(template + own[:21] + words(rng, 21)) if k % 4 else " ".join(template + words(rng, 42))))
+    label, _ = brute_components(rows)
+    assert 100 < sum(i != c for i, c in label.items()) < 200
+    assert {r["doc_id"]: r["component_id"] for r in duplicates(spark, rows, 6)} == label
+
+
+def test_overlaps_of_all_pairs():
+    rng = random.Random(4)
+    sets = [set(rng.sample(range(20_000), rng.choice([0, 1, 500, 9000]))) for _ in range(12)]
+    got = minhash.overlaps([minhash.np.array(sorted(s), "uint64") for s in sets])
+    assert all(got[x][y] == len(a & b) for x, a in enumerate(sets) for y, b in enumerate(sets) if x != y)
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(1, 60)] + [(100, k) for k in range(101, 140)] + [(7, 7), (200, 201), (201, 202), (202, 200)]
     df = spark.createDataFrame(edges, "a long, b long")

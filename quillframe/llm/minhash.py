@@ -37,8 +37,6 @@ NEAR, RING = 28, 14
 DEEPEST = 4
 #: Members of a block that meets other blocks: about the root of how many there are, so that rows and cells grow alike.
 LEAST_BLOCK, MOST_BLOCK = 24, 256
-#: Pairs of linked and ring documents of one pivot that are compared in blocks; of larger rings all members branch on.
-RING_PAIRS = 20_000_000
 #: Rows of jobs up to this many are broadcast to choose texts (24 bytes each).
 BROADCAST_JOBS = 1_000_000
 
@@ -266,21 +264,23 @@ def links(nodes: DataFrame, docs: DataFrame, limit: int = LIMIT, roots: int = RO
         star = confirmed(members.unionByName(pivots).select(F.xxhash64("pivot", "block", F.lit(2)).alias("job"), "pivot", "id"), docs)
         linked = F.col("both") * 100 >= F.col("either") * 75
         found.append(star.filter(linked).select("a", "b"))
-        # what is linked with the pivot against what lies in the ring around it, in blocks: then nothing that is linked has more to find
-        sizes = star.groupBy(F.col("a").alias("pivot")).agg(F.count_if(linked).alias("inner"), F.count_if(~linked).alias("ring"))
-        sizes = stored(sizes.withColumn("open", F.col("inner") * F.col("ring") > RING_PAIRS), "minhash-rings")
-        half, third = max(1, limit * 2 // 3), max(1, limit // 3)
-        both = sizes.filter("inner > 0 and ring > 0 and not open").select("pivot", F.ceil(F.col("inner") / half).cast("int").alias("inners"), F.ceil(F.col("ring") / third).cast("int").alias("rings"))
-        dealt = salted_left(star.select(F.col("a").alias("pivot"), F.col("b").alias("id"), linked.alias("linked")), both, "pivot", F.col("id")).filter("inners is not null")
-        mine = F.pmod(F.xxhash64("id", F.lit(5)), F.when(F.col("linked"), F.col("inners")).otherwise(F.col("rings"))).cast("int")
-        dealt = dealt.select("pivot", "id", "linked", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.when(F.col("linked"), F.col("rings")).otherwise(F.col("inners")) - 1)).alias("other"))
-        cell = F.xxhash64("pivot", F.when(F.col("linked"), F.col("mine")).otherwise(F.col("other")), F.when(F.col("linked"), F.col("other")).otherwise(F.col("mine")))
+        # what is linked with the pivot against what lies in the ring around it, in blocks: then nothing that is linked has more to find.
+        # Bands of 1/16 by distance to the pivot: no ring document beyond 1/4 of a linked one's band is linked with it
+        star = star.select(F.col("a").alias("pivot"), F.col("b").alias("id"), linked.alias("linked"), F.floor((F.col("either") - F.col("both")) * 16 / F.col("either")).alias("band"))
+        bands = stored(star.groupBy("pivot", "linked", "band").agg(_blocks(F.count("*"), limit).alias("blocks")), "minhash-bands")
+        inner = bands.filter("linked").select("pivot", F.col("band").alias("i"), F.col("blocks").alias("inners"))
+        ring = bands.filter("not linked").select("pivot", F.col("band").alias("r"), F.col("blocks").alias("rings"))
+        reach = inner.join(ring, "pivot").filter("r <= i + 4")
+        side = lambda linked, band, mine, other: reach.groupBy(F.struct("pivot", F.lit(linked).alias("linked"), F.col(band).alias("band")).alias("_key")).agg(F.first(mine).alias("mine"), F.collect_list(F.struct("i", "r", F.col(other).alias("n"))).alias("against"))
+        sides = side(True, "i", "inners", "rings").unionByName(side(False, "r", "rings", "inners"))
+        dealt = salted_left(star.withColumn("_key", F.struct("pivot", "linked", "band")), sides, "_key", F.col("id")).filter("against is not null")
+        dealt = dealt.select("pivot", "id", "linked", F.pmod(F.xxhash64("id", F.lit(5)), F.col("mine")).cast("int").alias("own"), F.explode("against").alias("x"))
+        dealt = dealt.select("pivot", "id", "linked", "own", "x.i", "x.r", F.explode(F.sequence(F.lit(0), F.col("x.n") - 1)).alias("other"))
+        cell = F.xxhash64("pivot", "i", "r", F.when(F.col("linked"), F.col("own")).otherwise(F.col("other")), F.when(F.col("linked"), F.col("other")).otherwise(F.col("own")))
         cells = dealt.select("id", cell.alias("path")).join(brief, "id").groupBy("path").agg(F.collect_list(F.struct("id", "brief")).alias("members"))
         jobs.append(stored(_groups(cells), "minhash-groups"))
-        state = large.join(star.select(F.col("a").alias("pivot"), F.col("b").alias("id"), linked.alias("linked")), ["pivot", "id"], "left")
-        state = state.withColumn("linked", F.when(F.col("id") == F.col("pivot"), True).otherwise(F.coalesce("linked", F.lit(False))))
-        state = salted_left(state, sizes.filter("open").select("pivot", "open"), "pivot", F.col("id"))
-        rest = state.filter(~F.col("linked") | F.coalesce("open", F.lit(False))).select("path", "id")
+        state = large.join(star.select("pivot", "id", "linked"), ["pivot", "id"], "left")
+        rest = state.filter((F.col("id") != F.col("pivot")) & ~F.coalesce("linked", F.lit(False))).select("path", "id")
         choice = lambda k: F.pmod(F.xxhash64("path", F.lit(10 + k)), F.lit(COORDINATES - roots)).cast("int") + roots
         child = lambda k: F.xxhash64("path", choice(k), F.element_at("tokens", choice(k) + 1))
         second = F.when((F.pmod(F.xxhash64("path", F.lit(9)), F.lit(2)) == 0) & (choice(1) != choice(0)), child(1))

@@ -84,6 +84,25 @@ def test_near_duplicates_among_many_alike(spark):
     assert {r["doc_id"]: r["component_id"] for r in duplicates(spark, rows, 6)} == label
 
 
+def test_near_duplicates_links_across_a_ring_of_any_size(spark, monkeypatch):
+    """Texts linked with the pivot and texts of the ring that are linked only with those; no size of the ring skips them."""
+    monkeypatch.setattr(minhash, "RING_PAIRS", 0, raising=False)
+    rng = random.Random(12)
+    base, rows = words(rng, 300), []
+    for k in range(60):
+        inner = base[:]
+        for at in range(15, 300, 60):  # 5 words, about 25 shingles of 296: 0.85 to the base
+            inner[at] = "in%dx%d" % (k, at)
+        far = inner[:]
+        for at in range(45, 300, 60):  # 0.85 to its own text, 0.72 to the base, less to the others
+            far[at] = "far%dx%d" % (k, at)
+        rows += [(1 + k, " ".join(inner)), (1000 + k, " ".join(far))]
+    rows.append((0, " ".join(base)))
+    label, _ = brute_components(rows)
+    assert set(label.values()) == {0}
+    assert {r["doc_id"]: r["component_id"] for r in duplicates(spark, rows, 6)} == label
+
+
 def test_overlaps_of_all_pairs():
     rng = random.Random(4)
     sets = [set(rng.sample(range(20_000), rng.choice([0, 1, 500, 9000]))) for _ in range(12)]

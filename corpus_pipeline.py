@@ -41,7 +41,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words of each document the mix of sources takes."""
+    """Writes the mix of sources to the shared folder and returns how many words of each document it holds."""
     return mixing.mix_sources(docs)[0]
 
 

@@ -1,7 +1,8 @@
 """Mixing sources to target weights, on built-in functions alone.
 
 Words of a source are packed into fixed-length blocks; the slots of a source's quota fall on output shards at random, are mapped
-through the source's pseudorandom index permutation, one per pass, and are joined to the blocks by index.
+through the source's pseudorandom index permutation, one per pass, and are joined to the blocks by index. The mixed shards are written,
+and what a document gave is counted from them.
 """
 
 from __future__ import annotations
@@ -47,8 +48,9 @@ def source_targets(sized: DataFrame, weights=(5, 2, 1), cap: int = 3) -> DataFra
 def mix_sources(docs: DataFrame, weights=(5, 2, 1), cap: int = 3, block_words: int = 32, shard_slots: int = 4096, seed: int = 17):
     """Mixes documents to target weights. Returns (documents, slots).
 
-    documents: doc_id, source, size, source_size, target, taken; one row per input row. slots: the mix itself, one row per block
-    that it takes: shard, source_id, slot, pass, block. A source's quota of slots is its target in whole blocks. Where a slot
+    documents: doc_id, source, size, source_size, target, taken; one row per input row. slots: the mix itself as it was written to the
+    shared folder, partitioned and sorted by shard, one row per block that it takes: shard, source_id, slot, pass, block, tokens (the
+    block's words in order) and parts (row, n: how many of them each input row gave). A source's quota of slots is its target in whole blocks. Where a slot
     falls among the output shards is a uniform draw, so a shard's counts of sources are a multinomial draw, conditioned on every
     source's total being its quota; drawn without that condition, small sources would miss their targets by the sampling error.
     A pass maps slot numbers through a permutation of the source's block numbers, so a pass takes no block twice, and cap passes
@@ -59,10 +61,12 @@ def mix_sources(docs: DataFrame, weights=(5, 2, 1), cap: int = 3, block_words: i
     doc_id, source and text are not read.
     """
     spark = docs.sparkSession
-    sized = stored(
-        docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), F.monotonically_increasing_id().alias("row")),
-        "mix-sizes",
+    texts = stored(
+        docs.select("doc_id", "source", words(F.col("text")).alias("words"), F.monotonically_increasing_id().alias("row"))
+        .select("doc_id", "source", F.size("words").cast("long").alias("size"), "row", F.array_join("words", " ").alias("text")),
+        "mix-texts",
     )
+    sized = texts.drop("text")
     sources = stored(source_targets(sized, weights, cap), "mix-sources")
     blocks = F.ceil(F.col("source_size") / block_words)
     quota = F.when(F.col("source_size") > 0, F.least(cap * blocks, F.round(F.col("target") * blocks / F.col("source_size")))).otherwise(0).cast("long")
@@ -83,11 +87,17 @@ def mix_sources(docs: DataFrame, weights=(5, 2, 1), cap: int = 3, block_words: i
     placed = placed.withColumn("_in", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(starts, ["source_id", "bucket"])
     placed = placed.withColumn("at", F.col("start") + F.col("_in"))
     B = F.lit(block_words)
-    spans = (
-        placed.filter("size > 0")
-        .select("row", "source_id", "at", "size", F.explode(F.sequence(F.floor(F.col("at") / B), F.floor((F.col("at") + F.col("size") - 1) / B))).alias("block"))
-        .select("row", "source_id", "block", (F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * B) - F.greatest(F.col("at"), F.col("block") * B)).alias("part"))
+    # a text is cut into its parts of blocks before they are dealt, so that no part carries the whole text
+    last = lambda x: F.least(F.col("at") + F.col("size"), (x + 1) * B)
+    begin = lambda x: F.greatest(F.col("at"), x * B)
+    pieces = lambda w: F.transform(
+        F.sequence(F.floor(F.col("at") / B), F.floor((F.col("at") + F.col("size") - 1) / B)),
+        lambda x: F.struct(x.alias("block"), begin(x).alias("at"), (last(x) - begin(x)).cast("int").alias("n"), F.array_join(F.slice(w, (begin(x) - F.col("at") + 1).cast("int"), (last(x) - begin(x)).cast("int")), " ").alias("text")),
     )
+    # split once a text, as the variable of an outer lambda; texts are shuffled as strings, as arrays of words take several times the room
+    cut = F.flatten(F.transform(F.array(F.split("text", " ", -1)), pieces))
+    cuts = texts.filter("size > 0").select("row", "size", "text").join(placed.filter("size > 0").select("row", "source_id", "at"), "row").select("row", "source_id", F.explode(cut).alias("x"))
+    packed = cuts.groupBy("source_id", F.col("x.block").alias("block")).agg(F.sort_array(F.collect_list(F.struct(F.col("x.at").alias("at"), "row", F.col("x.n").alias("n"), F.col("x.text").alias("text")))).alias("_x"))
 
     chunks = sources.filter("quota > 0").select("source_id", "blocks", "quota", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("quota") - 1) / CHUNK))).alias("chunk"))
     chunks = chunks.repartition("source_id", "chunk")
@@ -100,9 +110,14 @@ def mix_sources(docs: DataFrame, weights=(5, 2, 1), cap: int = 3, block_words: i
         ((step * F.col("_index") + F.pmod(key, F.col("blocks"))) % F.col("blocks")).alias("block"),
     )
 
-    times = slots.groupBy("source_id", "block").agg(F.count("*").alias("times"))
     # the planner takes what a few chunks explode into for small; the hint keeps it from broadcasting that
-    taken = spans.join(times.hint("merge"), ["source_id", "block"]).groupBy("row").agg(F.sum(F.col("part") * F.col("times")).alias("taken"))
+    mixed = slots.join(packed.hint("merge"), ["source_id", "block"]).select(
+        "shard", "source_id", "slot", "pass", "block", F.array_join("_x.text", " ").alias("tokens"),
+        F.transform("_x", lambda x: F.struct(x["row"].alias("row"), x["n"].alias("n"))).alias("parts"),
+    )
+    mixed = mixed.repartition("shard").sortWithinPartitions("shard", F.xxhash64("source_id", "slot", F.lit(seed + 2)), "source_id", "slot")
+    slots = stored(mixed.withColumn("tokens", F.split("tokens", " ", -1)), "mix-shards")
+    taken = slots.select(F.explode("parts").alias("x")).groupBy("x.row").agg(F.sum("x.n").alias("taken"))
     result = (
         sized.join(taken, "row", "left")
         .join(small(sources.select(F.col("source").alias("_s"), "source_size", "target")), F.col("source").eqNullSafe(F.col("_s")))

@@ -99,3 +99,29 @@ def test_mix(spark):
     # a pass takes each block once at most
     assert slots.groupBy("source_id", "pass", "block").count().filter("count > 1").count() == 0
     assert mixing.mix_sources(docs(spark, []))[0].count() == 0
+
+
+def test_mix_holds_the_words_of_each_block(spark):
+    rng = random.Random(6)
+    rows = [(k, " ".join(f"d{k}w{j}" for j in range(rng.randint(0, 90))).replace(" ", rng.choice([" ", "\n", " \t "])), rng.choice(["a", "b", None])) for k in range(200)]
+    sizes = {k: len(t.split()) for k, t, _ in rows}
+    out, slots = mixing.mix_sources(docs(spark, rows), block_words=16, shard_slots=50)
+    got, mix = out.collect(), slots.collect()
+    seen, blocks = collections.Counter(), {}
+    for r in mix:
+        tokens = r["tokens"]
+        assert sum(p["n"] for p in r["parts"]) == len(tokens) <= 16 and tokens
+        seen.update(int(t[1:].split("w")[0]) for t in tokens)
+        assert blocks.setdefault((r["source_id"], r["block"]), tokens) == tokens
+    assert {r["doc_id"]: r["taken"] for r in got} == {k: seen[k] for k in sizes}
+    assert len({r["shard"] for r in mix}) > 1
+    # blocks in order hold each document's words once and in order, and all but the last are full
+    for source in {s for s, _ in blocks}:
+        mine = [blocks[s, b] for s, b in sorted(blocks) if s == source]
+        numbers = [b for s, b in sorted(blocks) if s == source]
+        if numbers == list(range(len(numbers))):
+            assert all(len(b) == 16 for b in mine[:-1])
+            by_doc = collections.defaultdict(list)
+            for t in sum(mine, []):
+                by_doc[int(t[1:].split("w")[0])].append(int(t.split("w")[1]))
+            assert all(v == list(range(sizes[k])) for k, v in by_doc.items())

@@ -435,13 +435,21 @@ def keyed_keep_first(spark, sf_dir):
     return _orders(spark, sf_dir).keyed("o_custkey", "int64", KEEP_FIRST).df.select("_key", "o_orderkey", "o_orderstatus", "_pos")
 
 
+def _lines_by_composite(spark, sf_dir) -> Table:
+    columns = ("l_orderkey", "l_linenumber", "l_returnflag")
+    order = F.struct(*[F.col(c) for c in ("l_partkey", "l_suppkey", "l_returnflag")])
+    df = _table(spark, sf_dir, "lineitem").select(order.alias("_pos"), *[F.col(c).cast("string").alias(c) for c in columns])
+    return Table(df, columns).keyed(F.concat_ws("-", "l_orderkey", "l_linenumber"))
+
+
 @query("SELECT l_orderkey || '-' || l_linenumber AS _key, l_returnflag FROM lineitem WHERE l_orderkey <= 5 AND l_linenumber <= 7 QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey DESC, l_suppkey DESC, l_returnflag DESC) = 1")
 def keyed_composite(spark, sf_dir):
-    df = _text(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_returnflag")
-    order = F.struct(*[F.col(c) for c in ("l_partkey", "l_suppkey", "l_returnflag")])
-    df = _table(spark, sf_dir, "lineitem").select(order.alias("_pos"), *[F.col(c).cast("string").alias(c) for c in df.columns])
-    t = Table(df, ("l_orderkey", "l_linenumber", "l_returnflag")).keyed(F.concat_ws("-", "l_orderkey", "l_linenumber"))
-    return t.lookup(*[f"{o}-{n}" for o in range(6) for n in range(8)]).select("_key", "l_returnflag")
+    return _lines_by_composite(spark, sf_dir).lookup(*[f"{o}-{n}" for o in range(6) for n in range(8)]).select("_key", "l_returnflag")
+
+
+@query("SELECT l_orderkey || '-' || l_linenumber AS _key, l_returnflag FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey DESC, l_suppkey DESC, l_returnflag DESC) = 1")
+def keyed_composite_whole(spark, sf_dir):
+    return _lines_by_composite(spark, sf_dir).df.select("_key", "l_returnflag")
 
 
 @query("SELECT o_custkey AS _key, CAST(max(o_orderkey) AS VARCHAR) AS o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') GROUP BY 1")

@@ -11,6 +11,12 @@ def test_query_equals_sql(spark, name):
     same_as_sql(spark, catalog.QUERIES[name](spark, DATA), catalog.ORACLE[name])
 
 
+def test_composite_keys_cover_the_whole_table(spark):
+    lines = spark.read.parquet(f"{DATA}/lineitem.parquet")
+    got = catalog.QUERIES["keyed_composite_whole"](spark, DATA)
+    assert got.count() == lines.select("l_orderkey", "l_linenumber").distinct().count() > 48
+
+
 def test_approximate_top_values_hold_the_heaviest(spark):
     top = [r["value"] for r in catalog.QUERIES["top_values_approx"](spark, DATA).collect()]
     exact = spark.read.parquet(f"{DATA}/events.parquet").groupBy("user_id").count().orderBy("count", ascending=False).first()

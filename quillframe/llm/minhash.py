@@ -2,11 +2,13 @@
 
 Documents descend trees: a node picks one or two coordinates of the min-wise signature, and a document goes to the child named by
 its token there. Small nodes are compared exhaustively, independent trees are repeated to the target recall. Links are confirmed on
-full shingle sets, and only a spanning forest of a node's links leaves it, so no group is expanded into pairs.
+full shingle sets, and only a spanning forest of a job's links leaves it, so no group is expanded into pairs.
 
-A node that is too large to compare is first compared with its smallest member, the pivot. Jaccard distance is a metric: a document
-linked with the pivot (within 1/4) can be linked with none beyond 1/2 of it. So what is linked with the pivot is compared with the
-ring between 1/4 and 1/2, in blocks, and leaves the node; the rest branch on.
+What a node still has to find are links between different components. Members of a large node meet the nearest of eight pivots, in
+blocks that are compared exhaustively, and components are taken of all links so far. A node of one component is done. One with few
+members outside its largest component compares these with all of the node, block by block, which is linear in the node. The others
+branch on, with longer signatures. A pair at the threshold has more than one common child a node on average and members of lesser similarity fewer, so neither
+does recall fall nor do rows grow with the depth.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillframe.llm.common import salted_left, small_batches, stored
@@ -25,25 +27,28 @@ from quillframe.llm.components import components
 
 WORDS = 5
 COORDINATES = 64
-#: Coordinates at the roots of the trees: 10 trees, of which every third has two. A pair of similarity 0.75 that no root keeps
-#: together has probability 0.25 ** 14.
+#: Coordinates at the roots of the trees. A pair of similarity 0.75 that no root keeps together has probability 0.25 ** 14.
 ROOTS = 14
-#: Members of a node that are compared exhaustively.
-LIMIT = 48
-#: Matching coordinates of 64 from which a pair is looked at: similarity 0.75 falls below 28 with probability 1e-7, 0.5 below 14 with 1e-6.
-NEAR, RING = 28, 14
-#: At this level what is still in large nodes is compared in blocks, all pairs of a node, so no pair parts more often than that, whatever
-#: the number of rows. Every second node above has two children: a pair of similarity 0.75 is parted in all trees with probability 4e-5.
-DEEPEST = 4
-#: Members of a block that meets other blocks: about the root of how many there are, so that rows and cells grow alike.
-LEAST_BLOCK, MOST_BLOCK = 24, 256
+#: Members of a node that are compared exhaustively, and members of a block.
+LIMIT = 64
+#: Blocks of members outside the largest component that meet the rest of their node; beyond it a node branches.
+CHUNKS = 4
+#: Coordinates of the signatures that are compared in large nodes.
+WIDE = 256
+#: Share of matching coordinates from which a pair is looked at, by their number: similarity 0.75 falls below with probability 4e-6.
+NEAR = {COORDINATES: 0.5, WIDE: 0.625}
+#: Pivots of a large node.
+PIVOTS = 8
+#: Nodes that are large and mixed at this level are compared in full, block by block. Their members agree in more coordinates than
+#: sets can that are not linked, so it is no more than a guard; a smaller number serves tests.
+DEEPEST = 40
 #: Rows of jobs up to this many are broadcast to choose texts (24 bytes each).
 BROADCAST_JOBS = 1_000_000
 
 _rng = np.random.default_rng(20)
 _MIX = (_rng.integers(1, 1 << 63, WORDS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-_MULTIPLY = (_rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-_ADD = _rng.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
+_MULTIPLY = (_rng.integers(1, 1 << 63, WIDE, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+_ADD = _rng.integers(0, 1 << 63, WIDE, dtype=np.uint64)
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -66,22 +71,35 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(s)
 
 
-def signature(s: np.ndarray) -> np.ndarray:
+def signature(s: np.ndarray, width: int = COORDINATES) -> np.ndarray:
     """The min-wise tokens, one a coordinate."""
-    out = np.full(COORDINATES, np.uint64(0xFFFFFFFFFFFFFFFF))
+    out = np.full(width, np.uint64(0xFFFFFFFFFFFFFFFF))
     for at in range(0, len(s), 2048):
-        np.minimum(out, (s[at : at + 2048, None] * _MULTIPLY + _ADD).min(axis=0), out=out)
+        np.minimum(out, (s[at : at + 2048, None] * _MULTIPLY[:width] + _ADD[:width]).min(axis=0), out=out)
     return (out >> np.uint64(32)).astype(np.uint32)
 
 
+def brief(tokens: np.ndarray) -> bytes:
+    return (tokens & np.uint32(255)).astype(np.uint8).tobytes()
+
+
+def fingerprint(s: np.ndarray) -> tuple[int, int]:
+    f = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
+    return int(f[0]), int(f[1])
+
+
+def _order(s: np.ndarray) -> tuple[int, int, int]:
+    """By which the least of several sets under one doc_id is chosen."""
+    return (len(s), *fingerprint(s))
+
+
 def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows = []
         for text in b["text"]:
             s = shingles(text)
-            f = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
             t = signature(s)
-            rows.append((len(s), int(f[0]), int(f[1]), t.view(np.int32), (t & np.uint32(255)).astype(np.uint8).tobytes()))
+            rows.append((len(s), *fingerprint(s), t.view(np.int32), brief(t)))
         out = pd.DataFrame(rows, columns=["n_shingles", "f1", "f2", "tokens", "brief"])
         out.insert(0, "doc_id", b["doc_id"].array)
         yield out
@@ -114,34 +132,48 @@ class Union:
         return True
 
 
+def _matrix(briefs) -> np.ndarray:
+    return np.frombuffer(b"".join(map(bytes, briefs)), np.uint8).reshape(len(briefs), -1)
+
+
 def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """From nodes (members: id, brief) the groups of ids that near signatures hold together."""
+    """From nodes (ids, briefs, labels) the jobs (job, id, label): groups that near signatures under different labels hold together."""
     for b in batches:
-        out = []
-        for members in b["members"]:
-            by_id = {m["id"]: m["brief"] for m in members}
-            ids = sorted(by_id)
+        jobs, out, under = [], [], []
+        for ids, briefs, labels in zip(b["ids"], b["briefs"], b["labels"], strict=True):
+            ids, first = np.unique(ids, return_index=True)
             if len(ids) < 2:
                 continue
-            m = np.frombuffer(b"".join(bytes(by_id[i]) for i in ids), np.uint8).reshape(len(ids), COORDINATES)
+            m, label = _matrix([briefs[k] for k in first]), labels[first]
+            least = NEAR[m.shape[1]] * m.shape[1]
             u = Union(len(ids))
             for k in range(len(ids) - 1):
-                for j in np.flatnonzero((m[k + 1 :] == m[k]).sum(axis=1) >= NEAR):
-                    u.join(k, k + 1 + int(j))
+                for j in np.flatnonzero(((m[k + 1 :] == m[k]).sum(axis=1) >= least) & (label[k + 1 :] != label[k])).tolist():
+                    u.join(k, k + 1 + j)
             groups: dict[int, list[int]] = {}
-            for k, i in enumerate(ids):
-                groups.setdefault(u.find(k), []).append(i)
-            out += [g for g in groups.values() if len(g) > 1]
-        yield pd.DataFrame({"ids": pd.Series(out, dtype=object)})
-
-
-def overlap(a: np.ndarray, b: np.ndarray) -> int:
-    """Size of the intersection of two sorted sets."""
-    if len(a) > len(b):
-        a, b = b, a
-    at = np.searchsorted(b, a)
-    at[at == len(b)] = 0
-    return int((b[at] == a).sum())
+            for k in range(len(ids)):
+                groups.setdefault(u.find(k), []).append(k)
+            for g in groups.values():
+                if len(g) > 1:
+                    jobs += [xxhash.xxh64_intdigest(ids[g].tobytes())] * len(g)
+                    out += ids[g].tolist()
+                    under += label[g].tolist()
+        yield pd.DataFrame({"job": np.array(jobs, np.uint64).view(np.int64), "id": np.array(out, np.int64), "label": np.array(under, np.int64)})
+
+
+def _nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """From members (path, id, brief, label, and the pivots' ids, briefs, labels) rows (pivot, pivot_label, id, label): the nearest pivot under another label."""
+    for b in batches:
+        found = [np.zeros((0, 4), np.int64)]
+        for _, rows in b.groupby("path"):
+            pivots, theirs, own, label = rows["ids"].iloc[0], rows["labels"].iloc[0], rows["id"].to_numpy(), rows["label"].to_numpy()
+            m, p = _matrix(rows["brief"].tolist()), _matrix(rows["briefs"].iloc[0])
+            same = np.stack([(m == x).sum(axis=1) for x in p], axis=1)
+            same[theirs[None, :] == label[:, None]] = -1  # its own label is a pivot's own, too
+            best = same.argmax(axis=1)
+            near = same[np.arange(len(own)), best] >= NEAR[m.shape[1]] * m.shape[1]
+            found.append(np.stack([pivots[best[near]], theirs[best[near]], own[near], label[near]], axis=1))
+        yield pd.DataFrame(np.concatenate(found), columns=["pivot", "pivot_label", "id", "label"])
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -163,148 +195,152 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (job, pivot, id, text), sorted by job. Without a pivot: a spanning forest of the job's links. With one: each row against it."""
-    out: list[tuple[int, int, int, int]] = []
-
-    def settle(pivot, held: dict[int, np.ndarray]):
-        if pivot is not None:
-            p = held.get(pivot)
-            for i, s in held.items():
-                if i != pivot and p is not None and 4 * min(len(s), len(p)) >= 2 * max(len(s), len(p)):
-                    both = overlap(s, p)
-                    if 2 * both >= len(s) + len(p) - both:
-                        out.append((pivot, i, both, len(s) + len(p) - both))
-            return
+    """From rows (job, id, label, text), sorted by job, links that span what each job's links connect beyond the labels."""
+    out: list[tuple[int, int]] = []
+
+    def settle(held: dict[int, np.ndarray], labels: dict[int, int]):
         ids = sorted(held)
-        u = Union(len(ids))
+        u, first = Union(len(ids)), {}
+        for k, i in enumerate(ids):
+            u.join(first.setdefault(labels[i], k), k)
         n = np.array([len(held[i]) for i in ids])
         both = overlaps([held[i] for i in ids])
         either = n[:, None] + n - both
         for x, y in np.argwhere(np.triu(100 * both >= 75 * either, 1)).tolist():
             if u.join(x, y):
-                out.append((ids[x], ids[y], int(both[x, y]), int(either[x, y])))
+                out.append((ids[x], ids[y]))
 
-    job, pivot, held = None, None, {}
+    job, held, labels = None, {}, {}
     for batch in batches:
-        for j, p, i, text in zip(batch["job"], batch["pivot"], batch["id"], batch["text"], strict=True):
-            p = None if p != p or p is None else int(p)
+        for j, i, label, text in zip(batch["job"].tolist(), batch["id"].tolist(), batch["label"].tolist(), batch["text"], strict=True):
             if j != job:
-                if held:
-                    settle(pivot, held)
-                job, pivot, held = j, p, {}
-            s = shingles(text)
-            if int(i) not in held or (len(s), s.tobytes()) < (len(held[int(i)]), held[int(i)].tobytes()):  # rows of one doc_id: the least set
-                held[int(i)] = s
+                if len(held) > 1:
+                    settle(held, labels)
+                job, held, labels = j, {}, {}
+            s, labels[i] = shingles(text), label
+            if i not in held or _order(s) < _order(held[i]):
+                held[i] = s
         if len(out) > 10_000:
-            yield pd.DataFrame(out, columns=["a", "b", "both", "either"])
+            yield pd.DataFrame(out, columns=["a", "b"])
             out.clear()
-    if held:
-        settle(pivot, held)
-    yield pd.DataFrame(out, columns=["a", "b", "both", "either"])
+    if len(held) > 1:
+        settle(held, labels)
+    yield pd.DataFrame(out, columns=["a", "b"])
 
 
-def confirmed(jobs: DataFrame, docs: DataFrame) -> DataFrame:
-    """a, b, both, either of the pairs that full sets confirm. jobs: job, pivot, id; a job's rows go to one task and are few."""
-    jobs = stored(jobs, "minhash-jobs")
+def confirmed(jobs: DataFrame, texts: DataFrame) -> DataFrame:
+    """a, b of the links that full sets confirm. jobs: job, id, label; a job's rows go to one task and are few. texts: id, text."""
+    jobs = stored(jobs.distinct(), "minhash-jobs")  # 24 bytes a row, broadcast up to BROADCAST_JOBS
     few = jobs.count() <= BROADCAST_JOBS
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # only texts that are in a job are shuffled, once
-    rows = texts.join(F.broadcast(jobs) if few else jobs, "id").select("job", "pivot", "id", "text").repartition(n, "job").sortWithinPartitions("job")
-    return stored(rows.mapInPandas(_confirm, "a long, b long, both long, either long"), "minhash-links")
+    rows = texts.join(F.broadcast(jobs) if few else jobs, "id").select("job", "id", "label", "text").repartition(_tasks(texts), "job").sortWithinPartitions("job")
+    return stored(rows.mapInPandas(_confirm, "a long, b long"), "minhash-links")
 
 
 # --- trees ----------------------------------------------------------------------------------------------------------------------
 
 
-def _split(rows: DataFrame, limit: int) -> tuple[DataFrame, DataFrame, int]:
-    """Nodes (path, members) that are small, rows (path, id, pivot) of the others, and how many such nodes there are."""
-    sizes = stored(rows.groupBy("path").agg(F.count("*").alias("n"), F.min("id").alias("pivot")).filter("n > 1"), "minhash-sizes")
-    small = rows.join(sizes.filter(F.col("n") <= limit).select("path"), "path").groupBy("path").agg(F.collect_list(F.struct("id", "brief")).alias("members"))
-    large = rows.select("path", "id").join(sizes.filter(F.col("n") > limit).select("path", "pivot"), "path")
-    return small, large, sizes.filter(F.col("n") > limit).count()
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
-def _blocks(n: Column, limit: int) -> Column:
-    """Into how many blocks n members are dealt."""
-    size = F.least(F.lit(MOST_BLOCK), F.greatest(F.lit(min(LEAST_BLOCK, limit // 2)), F.sqrt(n)))
-    return F.ceil(n / size).cast("int")
+def _tasks(df: DataFrame) -> int:
+    """Tasks of work in Python, whose rows are small and dear: Spark would put too many of them together by their bytes."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _groups(nodes: DataFrame) -> DataFrame:
-    """Jobs (job, pivot, id) of the distinct groups of candidates in small nodes."""
-    found = nodes.select("members").mapInPandas(_candidates, "ids array<long>").distinct()
-    return found.select(F.xxhash64("ids", F.lit(1)).alias("job"), F.lit(None).cast("long").alias("pivot"), F.explode("ids").alias("id"))
+def _members(rows: DataFrame) -> DataFrame:
+    """path, ids, briefs, labels of rows (path, id, brief, label)."""
+    nodes = rows.repartition(_tasks(rows), "path").groupBy("path").agg(F.collect_list(F.struct("id", "brief", "label")).alias("m"))
+    return nodes.select("path", F.col("m.id").alias("ids"), F.col("m.brief").alias("briefs"), F.col("m.label").alias("labels"))
 
 
-def links(nodes: DataFrame, docs: DataFrame, limit: int = LIMIT, roots: int = ROOTS) -> DataFrame:
-    """Confirmed links (a, b) that connect what is linked. nodes: id, tokens, brief of distinct sets; docs: doc_id, text."""
-    rows = nodes.select("id", "brief", F.explode(F.array(*[F.xxhash64(F.lit(c), F.element_at("tokens", c + 1)) for c in range(roots)])).alias("path"))
-    jobs, found, level = [], [], 1
-    while True:
-        small, large, n_large = _split(rows, limit)
-        jobs.append(stored(_groups(small), "minhash-groups"))
-        if not n_large:
-            break
-        large = stored(large, "minhash-large")
-        if level >= DEEPEST:  # compared block by block with all of its node
-            counts = large.groupBy("path").agg(_blocks(F.count("*"), limit).alias("blocks"))
-            dealt = large.join(counts, "path").withColumn("own", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int"))
-            dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            dealt = dealt.select("id", F.xxhash64("path", F.least("own", "other"), F.greatest("own", "other")).alias("path")).join(nodes.select("id", "brief"), "id")
-            jobs.append(stored(_groups(dealt.groupBy("path").agg(F.collect_list(F.struct("id", "brief")).alias("members"))), "minhash-groups"))
-            break
-        # all members against the pivot, where signatures don't rule out that they are within 1/2 of it
-        brief = nodes.select("id", "brief")
-        pairs = large.select("pivot", "id").filter("id <> pivot").distinct().join(brief, "id").join(brief.select(F.col("id").alias("pivot"), F.col("brief").alias("_p")), "pivot")
-        pairs = stored(pairs.mapInPandas(_near, "pivot long, id long"), "minhash-pairs")
-        blocks = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / limit).cast("int").alias("blocks"))
-        members = salted_left(pairs, blocks, "pivot", F.col("id")).select("pivot", "id", F.pmod(F.xxhash64("id", F.lit(4)), F.col("blocks")).cast("int").alias("block"))
-        pivots = blocks.select("pivot", F.col("pivot").alias("id"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-        star = confirmed(members.unionByName(pivots).select(F.xxhash64("pivot", "block", F.lit(2)).alias("job"), "pivot", "id"), docs)
-        linked = F.col("both") * 100 >= F.col("either") * 75
-        found.append(star.filter(linked).select("a", "b"))
-        # what is linked with the pivot against what lies in the ring around it, in blocks: then nothing that is linked has more to find.
-        # Bands of 1/16 by distance to the pivot: no ring document beyond 1/4 of a linked one's band is linked with it
-        star = star.select(F.col("a").alias("pivot"), F.col("b").alias("id"), linked.alias("linked"), F.floor((F.col("either") - F.col("both")) * 16 / F.col("either")).alias("band"))
-        bands = stored(star.groupBy("pivot", "linked", "band").agg(_blocks(F.count("*"), limit).alias("blocks")), "minhash-bands")
-        inner = bands.filter("linked").select("pivot", F.col("band").alias("i"), F.col("blocks").alias("inners"))
-        ring = bands.filter("not linked").select("pivot", F.col("band").alias("r"), F.col("blocks").alias("rings"))
-        reach = inner.join(ring, "pivot").filter("r <= i + 4")
-        side = lambda linked, band, mine, other: reach.groupBy(F.struct("pivot", F.lit(linked).alias("linked"), F.col(band).alias("band")).alias("_key")).agg(F.first(mine).alias("mine"), F.collect_list(F.struct("i", "r", F.col(other).alias("n"))).alias("against"))
-        sides = side(True, "i", "inners", "rings").unionByName(side(False, "r", "rings", "inners"))
-        dealt = salted_left(star.withColumn("_key", F.struct("pivot", "linked", "band")), sides, "_key", F.col("id")).filter("against is not null")
-        dealt = dealt.select("pivot", "id", "linked", F.pmod(F.xxhash64("id", F.lit(5)), F.col("mine")).cast("int").alias("own"), F.explode("against").alias("x"))
-        dealt = dealt.select("pivot", "id", "linked", "own", "x.i", "x.r", F.explode(F.sequence(F.lit(0), F.col("x.n") - 1)).alias("other"))
-        cell = F.xxhash64("pivot", "i", "r", F.when(F.col("linked"), F.col("own")).otherwise(F.col("other")), F.when(F.col("linked"), F.col("other")).otherwise(F.col("own")))
-        cells = dealt.select("id", cell.alias("path")).join(brief, "id").groupBy("path").agg(F.collect_list(F.struct("id", "brief")).alias("members"))
-        jobs.append(stored(_groups(cells), "minhash-groups"))
-        state = large.join(star.select("pivot", "id", "linked"), ["pivot", "id"], "left")
-        rest = state.filter((F.col("id") != F.col("pivot")) & ~F.coalesce("linked", F.lit(False))).select("path", "id")
-        choice = lambda k: F.pmod(F.xxhash64("path", F.lit(10 + k)), F.lit(COORDINATES - roots)).cast("int") + roots
-        child = lambda k: F.xxhash64("path", choice(k), F.element_at("tokens", choice(k) + 1))
-        second = F.when((F.pmod(F.xxhash64("path", F.lit(9)), F.lit(2)) == 0) & (choice(1) != choice(0)), child(1))
-        rows = stored(rest.join(nodes, "id").select("id", "brief", F.explode(F.array_compact(F.array(child(0), second))).alias("path")), "minhash-rows")
-        level += 1
-    all_jobs = jobs[0]
-    for j in jobs[1:]:
-        all_jobs = all_jobs.unionByName(j)
-    found.append(confirmed(all_jobs.distinct(), docs).select("a", "b"))
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+def _jobs(rows: DataFrame, held: DataFrame) -> DataFrame:
+    """Jobs of nodes given as rows (path, id)."""
+    nodes = _members(rows.join(held.select("id", "brief", "label"), "id")).filter(F.size("ids") > 1)
+    return stored(nodes.select("ids", "briefs", "labels").mapInPandas(_candidates, "job long, id long, label long"), "minhash-groups")
 
 
-def _near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _stars(large: DataFrame, held: DataFrame, limit: int, level: int) -> DataFrame:
+    """Jobs of the members of large nodes (path, id): blocks of those that are nearest to the same pivot, each with it."""
+    bucket = F.pmod(F.xxhash64("id", F.lit(level)), F.lit(PIVOTS))
+    chosen = large.groupBy("path").agg(F.array_compact(F.array(*[F.min(F.when(bucket == b, F.col("id"))) for b in range(PIVOTS)])).alias("p"))
+    members = held.select("id", "brief", "label")
+    pivots = _members(chosen.select("path", F.explode("p").alias("id")).join(members, "id"))
+    near = large.join(members, "id").join(pivots, "path").repartition(_tasks(large), "path", F.pmod(F.xxhash64("id"), F.lit(32)))
+    near = stored(near.mapInPandas(_nearest, "pivot long, pivot_label long, id long, label long").distinct(), "minhash-near")
+    blocks = stored(near.groupBy("pivot").agg(F.first("pivot_label").alias("label"), F.ceil(F.count("*") / limit).cast("int").alias("blocks")), "minhash-blocks")
+    dealt = salted_left(near, blocks.select("pivot", "blocks"), "pivot", F.col("id")).select("pivot", "id", "label", F.pmod(F.xxhash64("id", F.lit(4)), F.col("blocks")).cast("int").alias("block"))
+    own = blocks.select("pivot", F.col("pivot").alias("id"), "label", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    return dealt.unionByName(own).select(F.xxhash64("pivot", "block", F.lit(2)).alias("job"), "id", "label")
+
+
+def _sharpen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        if len(b):
-            x = np.frombuffer(b"".join(map(bytes, b["brief"])), np.uint8).reshape(-1, COORDINATES)
-            y = np.frombuffer(b"".join(map(bytes, b["_p"])), np.uint8).reshape(-1, COORDINATES)
-            yield b.loc[(x == y).sum(axis=1) >= RING, ["pivot", "id"]]
+        sets = [shingles(t) for t in b["text"]]
+        yield pd.DataFrame({"id": b["id"], "f1": [fingerprint(s)[0] for s in sets], "brief": [brief(signature(s, WIDE)) for s in sets]})
+
+
+def _cells(state: DataFrame, nodes: DataFrame, limit: int) -> DataFrame:
+    """Rows (path, id) that bring together, in each node (path, top, n, most), what isn't labelled top and all of the node, in blocks."""
+    pick = lambda seed, n: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = state.join(nodes.withColumns({"chunks": F.ceil((F.col("n") - F.col("most")) / limit).cast("int"), "blocks": F.ceil(F.col("n") / limit).cast("int")}), "path")
+    other = F.col("label") != F.col("top")
+    outside = dealt.filter(other).select("path", "id", pick(5, "chunks").alias("chunk"), each("blocks").alias("block"))
+    inside = dealt.filter(~other | (F.col("chunks") > 1)).select("path", "id", pick(6, "blocks").alias("block"), each("chunks").alias("chunk"))
+    return outside.unionByName(inside).select(F.xxhash64("path", "chunk", "block").alias("path"), "id")
+
+
+def _children(rows: DataFrame, held: DataFrame, roots: int) -> DataFrame:
+    """Rows (path, id) of the children: every node has one coordinate, every second one two."""
+    choice = lambda k: F.pmod(F.xxhash64("path", F.lit(10 + k)), F.lit(COORDINATES - roots)).cast("int") + roots
+    child = lambda k: F.xxhash64("path", choice(k), F.element_at("tokens", choice(k) + 1))
+    second = F.when((F.pmod(F.xxhash64("path", F.lit(9)), F.lit(2)) == 0) & (choice(1) != choice(0)), child(1))
+    return rows.join(held.select("id", "tokens"), "id").select("id", F.explode(F.array_compact(F.array(child(0), second))).alias("path"))
+
+
+def links(nodes: DataFrame, texts: DataFrame, limit: int = LIMIT, roots: int = ROOTS, deepest: int = DEEPEST) -> DataFrame:
+    """Confirmed links (a, b) that connect what is linked. nodes: id, f1, tokens, brief of distinct sets; texts: id, text."""
+    held = nodes.withColumn("label", F.col("id"))
+    rows = nodes.select("id", F.explode(F.array(*[F.xxhash64(F.lit(c), F.element_at("tokens", c + 1)) for c in range(roots)])).alias("path"))
+    pending: list[DataFrame] = []
+    found: list[DataFrame] = []
+    level = 1
+    while True:
+        sizes = stored(rows.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1"), "minhash-sizes")
+        pending.append(_jobs(rows.join(sizes.filter(F.col("n") <= limit).select("path"), "path"), held))
+        paths = sizes.filter(F.col("n") > limit).select("path")
+        more = not paths.isEmpty()
+        if more:
+            large = stored(rows.join(paths, "path").select("path", "id"), "minhash-large")
+            pending.append(_stars(large, held, limit, level))
+        found.append(confirmed(_union(pending), texts))
+        if not more:
+            return _union(found)
+        if level == 1 or not found[-1].isEmpty():
+            labels = components(_union(found))
+        ids = stored(large.select("id").distinct(), "minhash-ids")
+        if level == 1:  # from here on only texts of large nodes are read
+            few = ids.count() <= BROADCAST_JOBS
+            texts = stored(texts.join(F.broadcast(ids) if few else ids, "id", "left_semi"), "minhash-texts")
+            wide = texts.mapInPandas(_sharpen, "id long, f1 long, brief binary").dropDuplicates(["id", "f1"])
+            held = held.drop("brief").join(wide, ["id", "f1"])
+        held = held.drop("label").join(ids, "id", "left_semi").join(labels.select(F.col("node").alias("id"), "component"), "id", "left")
+        held = stored(held.select("id", "f1", "tokens", "brief", F.coalesce("component", "id").alias("label")), "minhash-held")
+        state = stored(large.join(held.select("id", "label"), "id"), "minhash-state")
+        counts = state.groupBy("path", "label").agg(F.count("*").alias("m"))
+        mixed = stored(counts.groupBy("path").agg(F.max_by("label", F.struct("m", "label")).alias("top"), F.max("m").alias("most"), F.sum("m").alias("n")).filter("most < n"), "minhash-mixed")
+        ready = (F.col("n") - F.col("most") <= CHUNKS * limit) | F.lit(level >= deepest)
+        pending = [_jobs(_cells(state, mixed.filter(ready), limit), held)]
+        rows = stored(_children(state.join(mixed.filter(~ready).select("path"), "path").select("path", "id"), held, roots), "minhash-rows")
+        level += 1
 
 
-def near_duplicates(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
+def near_duplicates(docs: DataFrame, limit: int = LIMIT, deepest: int = DEEPEST) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of `docs` (doc_id, text): near-duplicates at Jaccard 0.75 of 5-word shingles.
 
     Equal sets are one class from the start, so copies never meet in pairs. component_id is the smallest doc_id that links reach. Null
@@ -314,10 +350,13 @@ def near_duplicates(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """
     sketched = stored(sketches(docs), "minhash-sketches")
     usable = sketched.filter("n_shingles > 0 and doc_id is not null")
-    classes = stored(usable.groupBy("f1", "f2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "minhash-classes")
-    mine = usable.join(classes.select("f1", "f2", F.col("first").alias("doc_id")), ["f1", "f2", "doc_id"])
-    nodes = stored(mine.select(F.col("doc_id").alias("id"), "tokens", "brief").dropDuplicates(["id"]), "minhash-nodes")
-    labels = components(links(nodes, docs, limit))
+    classes = stored(usable.groupBy("f1", "f2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.first("n_shingles").alias("n_shingles")), "minhash-classes")
+    # of classes that begin with the same doc_id (one id, several texts) the least set stands for the document
+    own = classes.groupBy(F.col("first").alias("doc_id")).agg(F.min(F.struct("n_shingles", "f1", "f2")).alias("_s")).select("doc_id", "_s.f1", "_s.f2")
+    mine = usable.join(own, ["f1", "f2", "doc_id"])
+    nodes = stored(mine.select(F.col("doc_id").alias("id"), "f1", "tokens", "brief").dropDuplicates(["id"]), "minhash-nodes")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    labels = components(links(nodes, texts, limit, deepest=deepest))
     linked = classes.join(labels, classes["first"] == labels["node"], "left").select("f1", "f2", F.coalesce("component", "first").alias("_component"), "n", "first")
     # only classes of several rows or in larger components say more than a row knows of itself
     linked = linked.filter((F.col("n") > 1) | (F.col("_component") != F.col("first")))

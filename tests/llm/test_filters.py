@@ -84,9 +84,8 @@ def test_near_duplicates_among_many_alike(spark):
     assert {r["doc_id"]: r["component_id"] for r in duplicates(spark, rows, 6)} == label
 
 
-def test_near_duplicates_links_across_a_ring_of_any_size(spark, monkeypatch):
+def test_near_duplicates_links_across_a_ring_of_any_size(spark):
     """Texts linked with the pivot and texts of the ring that are linked only with those; no size of the ring skips them."""
-    monkeypatch.setattr(minhash, "RING_PAIRS", 0, raising=False)
     rng = random.Random(12)
     base, rows = words(rng, 300), []
     for k in range(60):

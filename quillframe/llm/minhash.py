@@ -29,10 +29,12 @@ WORDS = 5
 COORDINATES = 64
 #: Coordinates at the roots of the trees. A pair of similarity 0.75 that no root keeps together has probability 0.25 ** 14.
 ROOTS = 14
-#: Members of a node that are compared exhaustively, and members of a block.
-LIMIT = 64
+#: Members of a node that are compared exhaustively. Larger ones are compared in blocks of half of it.
+LIMIT = 256
 #: Blocks of members outside the largest component that meet the rest of their node; beyond it a node branches.
 CHUNKS = 4
+#: Rows of a task from the second level on, where few are left.
+TASK_ROWS = 4000
 #: Coordinates of the signatures that are compared in large nodes.
 WIDE = 256
 #: Share of matching coordinates from which a pair is looked at, by their number: similarity 0.75 falls below with probability 4e-6.
@@ -228,9 +230,9 @@ def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame(out, columns=["a", "b"])
 
 
-def confirmed(jobs: DataFrame, texts: DataFrame) -> DataFrame:
+def confirmed(jobs: DataFrame, texts: DataFrame, tasks: int) -> DataFrame:
     """a, b of the links that full sets confirm. jobs: job, id, label; a job's rows go to one task and are few. texts: id, text."""
-    jobs = stored(jobs.distinct(), "minhash-jobs")  # 24 bytes a row, broadcast up to BROADCAST_JOBS
+    jobs = stored(jobs.distinct().coalesce(tasks), "minhash-jobs")  # 24 bytes a row, broadcast up to BROADCAST_JOBS
     few = jobs.count() <= BROADCAST_JOBS
     # only texts that are in a job are shuffled, once
     rows = texts.join(F.broadcast(jobs) if few else jobs, "id").select("job", "id", "label", "text").repartition(_tasks(texts), "job").sortWithinPartitions("job")
@@ -258,22 +260,23 @@ def _members(rows: DataFrame) -> DataFrame:
     return nodes.select("path", F.col("m.id").alias("ids"), F.col("m.brief").alias("briefs"), F.col("m.label").alias("labels"))
 
 
-def _jobs(rows: DataFrame, held: DataFrame) -> DataFrame:
+def _jobs(rows: DataFrame, held: DataFrame, tasks: int) -> DataFrame:
     """Jobs of nodes given as rows (path, id)."""
-    nodes = _members(rows.join(held.select("id", "brief", "label"), "id")).filter(F.size("ids") > 1)
-    return stored(nodes.select("ids", "briefs", "labels").mapInPandas(_candidates, "job long, id long, label long"), "minhash-groups")
+    nodes = _members(rows.join(held.select("id", "brief", "label"), "id").coalesce(tasks)).filter(F.size("ids") > 1)
+    return nodes.select("ids", "briefs", "labels").coalesce(tasks).mapInPandas(_candidates, "job long, id long, label long")
 
 
-def _stars(large: DataFrame, held: DataFrame, limit: int, level: int) -> DataFrame:
+def _stars(large: DataFrame, held: DataFrame, limit: int, level: int, tasks: int) -> DataFrame:
     """Jobs of the members of large nodes (path, id): blocks of those that are nearest to the same pivot, each with it."""
     bucket = F.pmod(F.xxhash64("id", F.lit(level)), F.lit(PIVOTS))
-    chosen = large.groupBy("path").agg(F.array_compact(F.array(*[F.min(F.when(bucket == b, F.col("id"))) for b in range(PIVOTS)])).alias("p"))
+    chosen = large.groupBy("path").agg(F.array_compact(F.array(*[F.min(F.when(bucket == b, F.col("id"))) for b in range(PIVOTS)])).alias("p")).coalesce(tasks)
     members = held.select("id", "brief", "label")
-    pivots = _members(chosen.select("path", F.explode("p").alias("id")).join(members, "id"))
-    near = large.join(members, "id").join(pivots, "path").repartition(_tasks(large), "path", F.pmod(F.xxhash64("id"), F.lit(32)))
-    near = stored(near.mapInPandas(_nearest, "pivot long, pivot_label long, id long, label long").distinct(), "minhash-near")
-    blocks = stored(near.groupBy("pivot").agg(F.first("pivot_label").alias("label"), F.ceil(F.count("*") / limit).cast("int").alias("blocks")), "minhash-blocks")
-    dealt = salted_left(near, blocks.select("pivot", "blocks"), "pivot", F.col("id")).select("pivot", "id", "label", F.pmod(F.xxhash64("id", F.lit(4)), F.col("blocks")).cast("int").alias("block"))
+    pivots = _members(chosen.select("path", F.explode("p").alias("id")).join(members, "id").coalesce(tasks)).coalesce(tasks)
+    near = large.join(members, "id").coalesce(tasks).join(pivots, "path").coalesce(tasks).repartition(_tasks(large), "path", F.pmod(F.xxhash64("id"), F.lit(32))).coalesce(tasks)
+    near = stored(near.mapInPandas(_nearest, "pivot long, pivot_label long, id long, label long").distinct().coalesce(tasks), "minhash-near")
+    blocks = near.groupBy("pivot").agg(F.first("pivot_label").alias("label"), F.ceil(F.count("*") / (limit // 2)).cast("int").alias("blocks")).coalesce(tasks)
+    dealt = salted_left(near, blocks.select("pivot", "blocks"), "pivot", F.col("id")).coalesce(tasks)
+    dealt = dealt.select("pivot", "id", "label", F.pmod(F.xxhash64("id", F.lit(4)), F.col("blocks")).cast("int").alias("block"))
     own = blocks.select("pivot", F.col("pivot").alias("id"), "label", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     return dealt.unionByName(own).select(F.xxhash64("pivot", "block", F.lit(2)).alias("job"), "id", "label")
 
@@ -284,23 +287,23 @@ def _sharpen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"id": b["id"], "f1": [fingerprint(s)[0] for s in sets], "brief": [brief(signature(s, WIDE)) for s in sets]})
 
 
-def _cells(state: DataFrame, nodes: DataFrame, limit: int) -> DataFrame:
+def _cells(state: DataFrame, nodes: DataFrame, size: int, tasks: int) -> DataFrame:
     """Rows (path, id) that bring together, in each node (path, top, n, most), what isn't labelled top and all of the node, in blocks."""
     pick = lambda seed, n: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    dealt = state.join(nodes.withColumns({"chunks": F.ceil((F.col("n") - F.col("most")) / limit).cast("int"), "blocks": F.ceil(F.col("n") / limit).cast("int")}), "path")
+    dealt = state.join(nodes.withColumns({"chunks": F.ceil((F.col("n") - F.col("most")) / size).cast("int"), "blocks": F.ceil(F.col("n") / size).cast("int")}), "path").coalesce(tasks)
     other = F.col("label") != F.col("top")
     outside = dealt.filter(other).select("path", "id", pick(5, "chunks").alias("chunk"), each("blocks").alias("block"))
     inside = dealt.filter(~other | (F.col("chunks") > 1)).select("path", "id", pick(6, "blocks").alias("block"), each("chunks").alias("chunk"))
     return outside.unionByName(inside).select(F.xxhash64("path", "chunk", "block").alias("path"), "id")
 
 
-def _children(rows: DataFrame, held: DataFrame, roots: int) -> DataFrame:
+def _children(rows: DataFrame, held: DataFrame, roots: int, tasks: int) -> DataFrame:
     """Rows (path, id) of the children: every node has one coordinate, every second one two."""
     choice = lambda k: F.pmod(F.xxhash64("path", F.lit(10 + k)), F.lit(COORDINATES - roots)).cast("int") + roots
     child = lambda k: F.xxhash64("path", choice(k), F.element_at("tokens", choice(k) + 1))
     second = F.when((F.pmod(F.xxhash64("path", F.lit(9)), F.lit(2)) == 0) & (choice(1) != choice(0)), child(1))
-    return rows.join(held.select("id", "tokens"), "id").select("id", F.explode(F.array_compact(F.array(child(0), second))).alias("path"))
+    return rows.join(held.select("id", "tokens"), "id").coalesce(tasks).select("id", F.explode(F.array_compact(F.array(child(0), second))).alias("path"))
 
 
 def links(nodes: DataFrame, texts: DataFrame, limit: int = LIMIT, roots: int = ROOTS, deepest: int = DEEPEST) -> DataFrame:
@@ -309,34 +312,37 @@ def links(nodes: DataFrame, texts: DataFrame, limit: int = LIMIT, roots: int = R
     rows = nodes.select("id", F.explode(F.array(*[F.xxhash64(F.lit(c), F.element_at("tokens", c + 1)) for c in range(roots)])).alias("path"))
     pending: list[DataFrame] = []
     found: list[DataFrame] = []
-    level = 1
+    level, tasks = 1, _tasks(nodes)  # a table of few rows takes few tasks
     while True:
-        sizes = stored(rows.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1"), "minhash-sizes")
-        pending.append(_jobs(rows.join(sizes.filter(F.col("n") <= limit).select("path"), "path"), held))
-        paths = sizes.filter(F.col("n") > limit).select("path")
-        more = not paths.isEmpty()
-        if more:
-            large = stored(rows.join(paths, "path").select("path", "id"), "minhash-large")
-            pending.append(_stars(large, held, limit, level))
-        found.append(confirmed(_union(pending), texts))
-        if not more:
+        sizes = stored(rows.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1").coalesce(tasks), "minhash-sizes")
+        pending.append(_jobs(rows.join(sizes.filter(F.col("n") <= limit).select("path"), "path").coalesce(tasks), held, tasks))
+        in_large = sizes.filter(F.col("n") > limit).agg(F.sum("n")).first()[0] or 0
+        if in_large:
+            large = stored(rows.join(sizes.filter(F.col("n") > limit).select("path"), "path").select("path", "id").coalesce(tasks), "minhash-large")
+            tasks = 6 + in_large // TASK_ROWS
+            pending.append(_stars(large, held, limit, level, tasks))
+        found.append(confirmed(_union(pending), texts, max(tasks, 6)))
+        if not in_large:
             return _union(found)
         if level == 1 or not found[-1].isEmpty():
             labels = components(_union(found))
-        ids = stored(large.select("id").distinct(), "minhash-ids")
+        ids = large.select("id").distinct().coalesce(tasks)
         if level == 1:  # from here on only texts of large nodes are read
+            ids = stored(ids, "minhash-ids")
             few = ids.count() <= BROADCAST_JOBS
             texts = stored(texts.join(F.broadcast(ids) if few else ids, "id", "left_semi"), "minhash-texts")
-            wide = texts.mapInPandas(_sharpen, "id long, f1 long, brief binary").dropDuplicates(["id", "f1"])
-            held = held.drop("brief").join(wide, ["id", "f1"])
-        held = held.drop("label").join(ids, "id", "left_semi").join(labels.select(F.col("node").alias("id"), "component"), "id", "left")
-        held = stored(held.select("id", "f1", "tokens", "brief", F.coalesce("component", "id").alias("label")), "minhash-held")
-        state = stored(large.join(held.select("id", "label"), "id"), "minhash-state")
-        counts = state.groupBy("path", "label").agg(F.count("*").alias("m"))
-        mixed = stored(counts.groupBy("path").agg(F.max_by("label", F.struct("m", "label")).alias("top"), F.max("m").alias("most"), F.sum("m").alias("n")).filter("most < n"), "minhash-mixed")
-        ready = (F.col("n") - F.col("most") <= CHUNKS * limit) | F.lit(level >= deepest)
-        pending = [_jobs(_cells(state, mixed.filter(ready), limit), held)]
-        rows = stored(_children(state.join(mixed.filter(~ready).select("path"), "path").select("path", "id"), held, roots), "minhash-rows")
+            wide = texts.mapInPandas(_sharpen, "id long, f1 long, brief binary").dropDuplicates(["id", "f1"]).coalesce(tasks)
+            held = held.drop("brief").join(wide, ["id", "f1"]).coalesce(tasks)
+        held = held.drop("label").join(ids, "id", "left_semi").coalesce(tasks).join(labels.select(F.col("node").alias("id"), "component"), "id", "left")
+        held = stored(held.select("id", "f1", "tokens", "brief", F.coalesce("component", "id").alias("label")).coalesce(tasks), "minhash-held")
+        state = stored(large.join(held.select("id", "label"), "id").coalesce(tasks), "minhash-state")
+        counts = state.groupBy("path", "label").agg(F.count("*").alias("m")).coalesce(tasks)
+        mixed = counts.groupBy("path").agg(F.max_by("label", F.struct("m", "label")).alias("top"), F.max("m").alias("most"), F.sum("m").alias("n"))
+        mixed = stored(mixed.filter("most < n").coalesce(tasks), "minhash-mixed")
+        ready = (F.col("n") - F.col("most") <= CHUNKS * (limit // 2)) | F.lit(level >= deepest)
+        pending = [_jobs(_cells(state, mixed.filter(ready), limit // 2, tasks), held, tasks)]
+        rows = state.join(mixed.filter(~ready).select("path"), "path").select("path", "id").coalesce(tasks)
+        rows = stored(_children(rows, held, roots, tasks), "minhash-rows")
         level += 1
 
 

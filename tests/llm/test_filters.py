@@ -58,7 +58,7 @@ def test_near_duplicates_against_all_pairs(spark):
     rows += [(300 + k, " ".join(words(rng, 20) + passage + words(rng, 20))) for k in range(30)]  # a passage that many share
     rows += [(400, ""), (401, None), (402, "   "), (403, "one two"), (404, "ONE  two"), (405, "one two three")]
     label, sizes = brute_components(rows)
-    for limit in (48, 6):  # with 6 the large nodes branch and meet pivots
+    for limit in (256, 12):  # with 12 the large nodes branch and meet pivots
         got = duplicates(spark, rows, limit)
         assert {r["doc_id"]: r["component_id"] for r in got} == label
         assert {r["doc_id"]: r["n_shingles"] for r in got} == sizes
@@ -81,7 +81,7 @@ def test_near_duplicates_among_many_alike(spark):
         rows.append((k + 1, " ".join(template + own[:21] + words(rng, 21)) if k % 4 else " ".join(template + words(rng, 42))))
     label, _ = brute_components(rows)
     assert 100 < sum(i != c for i, c in label.items()) < 200
-    assert {r["doc_id"]: r["component_id"] for r in duplicates(spark, rows, 6)} == label
+    assert {r["doc_id"]: r["component_id"] for r in duplicates(spark, rows, 24)} == label
 
 
 def test_near_duplicates_links_across_a_ring_of_any_size(spark):
@@ -99,7 +99,7 @@ def test_near_duplicates_links_across_a_ring_of_any_size(spark):
     rows.append((0, " ".join(base)))
     label, _ = brute_components(rows)
     assert set(label.values()) == {0}
-    assert {r["doc_id"]: r["component_id"] for r in duplicates(spark, rows, 6)} == label
+    assert {r["doc_id"]: r["component_id"] for r in duplicates(spark, rows, 24)} == label
 
 
 def test_overlaps_of_all_pairs():

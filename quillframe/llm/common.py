@@ -38,7 +38,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df to a table in the shared folder and reads it back: lineage is cut and lost executors cost nothing."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

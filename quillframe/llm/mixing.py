@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillframe.llm.common import stored, words
 
-#: Primes over 2**31; as no block count reaches them, each is coprime with every count.
+#: Primes over 2**31; no count of blocks is a multiple of two of them.
 PRIMES = (2147483659, 2147483693, 2147483713, 2147483743, 2147483777, 2147483783, 2147483813, 2147483857)
 #: Sources up to this many rows are broadcast; beyond it the joins on the source shuffle.
 BROADCAST_SOURCES = 20_000
@@ -60,17 +60,14 @@ def mix_sources(docs: DataFrame, weights=(5, 2, 1), cap: int = 3, block_words: i
     source, the last; rows with equal or null doc_id are rows of their own; an empty table gives empty results. Columns other than
     doc_id, source and text are not read.
     """
-    spark = docs.sparkSession
-    texts = stored(
-        docs.select("doc_id", "source", words(F.col("text")).alias("words"), F.monotonically_increasing_id().alias("row"))
-        .select("doc_id", "source", F.size("words").cast("long").alias("size"), "row", F.array_join("words", " ").alias("text")),
-        "mix-texts",
-    )
-    sized = texts.drop("text")
+    # texts are read twice, for their sizes and for the mix, and meet their places by these 96 bits of a row
+    keyed = docs.select("doc_id", "source", "text", F.xxhash64("doc_id", "source", "text").alias("k1"), F.hash("text", "source", "doc_id").alias("k2"))
+    sized = stored(keyed.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), "k1", "k2", F.monotonically_increasing_id().alias("row")), "mix-sizes")
     sources = stored(source_targets(sized, weights, cap), "mix-sources")
     blocks = F.ceil(F.col("source_size") / block_words)
     quota = F.when(F.col("source_size") > 0, F.least(cap * blocks, F.round(F.col("target") * blocks / F.col("source_size")))).otherwise(0).cast("long")
     sources = sources.withColumns({"blocks": blocks.cast("long"), "quota": quota})
+    spark = docs.sparkSession
     sums = sources.agg(F.count("*").alias("n"), F.sum("quota").alias("slots")).first()
     n_rows = sized.count()
     small = F.broadcast if sums["n"] <= BROADCAST_SOURCES else (lambda x: x)
@@ -87,36 +84,42 @@ def mix_sources(docs: DataFrame, weights=(5, 2, 1), cap: int = 3, block_words: i
     placed = placed.withColumn("_in", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(starts, ["source_id", "bucket"])
     placed = placed.withColumn("at", F.col("start") + F.col("_in"))
     B = F.lit(block_words)
-    # a text is cut into its parts of blocks before they are dealt, so that no part carries the whole text
-    last = lambda x: F.least(F.col("at") + F.col("size"), (x + 1) * B)
-    begin = lambda x: F.greatest(F.col("at"), x * B)
-    pieces = lambda w: F.transform(
-        F.sequence(F.floor(F.col("at") / B), F.floor((F.col("at") + F.col("size") - 1) / B)),
-        lambda x: F.struct(x.alias("block"), begin(x).alias("at"), (last(x) - begin(x)).cast("int").alias("n"), F.array_join(F.slice(w, (begin(x) - F.col("at") + 1).cast("int"), (last(x) - begin(x)).cast("int")), " ").alias("text")),
-    )
-    # split once a text, as the variable of an outer lambda; texts are shuffled as strings, as arrays of words take several times the room
-    cut = F.flatten(F.transform(F.array(F.split("text", " ", -1)), pieces))
-    cuts = texts.filter("size > 0").select("row", "size", "text").join(placed.filter("size > 0").select("row", "source_id", "at"), "row").select("row", "source_id", F.explode(cut).alias("x"))
-    packed = cuts.groupBy("source_id", F.col("x.block").alias("block")).agg(F.sort_array(F.collect_list(F.struct(F.col("x.at").alias("at"), "row", F.col("x.n").alias("n"), F.col("x.text").alias("text")))).alias("_x"))
+    pieces = placed.filter("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("at") / B), F.floor((F.col("at") + F.col("size") - 1) / B))))
+    first, last = F.greatest(F.col("at"), F.col("block") * B), F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * B)
+    # where in its block a piece begins, where in its document, and how many words it has
+    pieces = pieces.select("source_id", "block", "k1", "k2", "row", (first - F.col("block") * B).cast("int").alias("at"), (first - F.col("at")).cast("int").alias("begin"), (last - first).cast("int").alias("n"))
 
     chunks = sources.filter("quota > 0").select("source_id", "blocks", "quota", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("quota") - 1) / CHUNK))).alias("chunk"))
     chunks = chunks.repartition("source_id", "chunk")
     slots = chunks.select("source_id", "blocks", F.explode(F.sequence(F.col("chunk") * CHUNK, F.least(F.col("quota"), (F.col("chunk") + 1) * CHUNK) - 1)).alias("slot"))
-    slots = slots.withColumns({"pass": F.floor(F.col("slot") / F.col("blocks")), "_index": F.col("slot") % F.col("blocks")})
-    key = F.xxhash64("source_id", "pass", F.lit(seed))
-    step = F.element_at(F.array(*[F.lit(p) for p in PRIMES]), (F.pmod(key, F.lit(len(PRIMES))) + 1).cast("int")) % F.col("blocks")
-    slots = slots.select(
-        F.pmod(F.xxhash64("source_id", "slot", F.lit(seed + 1)), F.lit(shards)).alias("shard"), "source_id", "slot", "pass",
-        ((step * F.col("_index") + F.pmod(key, F.col("blocks"))) % F.col("blocks")).alias("block"),
-    )
 
-    # the planner takes what a few chunks explode into for small; the hint keeps it from broadcasting that
-    mixed = slots.join(packed.hint("merge"), ["source_id", "block"]).select(
-        "shard", "source_id", "slot", "pass", "block", F.array_join("_x.text", " ").alias("tokens"),
-        F.transform("_x", lambda x: F.struct(x["row"].alias("row"), x["n"].alias("n"))).alias("parts"),
+    def block_of(nth):
+        """The block of a slot: its number within the pass through the pass's permutation."""
+        key = F.shiftrightunsigned(F.xxhash64("source_id", nth, F.lit(seed)), 2)
+        prime = lambda k: F.element_at(F.array(*[F.lit(p) for p in PRIMES]), (F.pmod(key + k, F.lit(len(PRIMES))) + 1).cast("int"))
+        step, index = F.when(F.col("blocks") % prime(0) == 0, prime(1)).otherwise(prime(0)) % F.col("blocks"), F.col("slot") % F.col("blocks")
+        far = (step.cast("decimal(19,0)") * index.cast("decimal(19,0)") + F.pmod(key, F.col("blocks"))) % F.col("blocks")  # the product may pass 64 bits
+        return F.when(F.col("blocks") < 1 << 31, (step * index + F.pmod(key, F.col("blocks"))) % F.col("blocks")).otherwise(far.cast("long"))
+
+    slots = slots.select("source_id", "slot", block_of(F.floor(F.col("slot") / F.col("blocks"))).alias("block"))
+    shard = F.pmod(F.xxhash64("source_id", "slot", F.lit(seed + 1)), F.lit(shards))
+
+    # blocks are joined by index before they hold any text: a piece of a document learns its slots, then the texts are cut and dealt
+    # to the shards once. The planner takes what a few chunks explode into for small; the hint keeps it from broadcasting that
+    wanted = pieces.join(slots.hint("merge"), ["source_id", "block"])
+    wanted = wanted.groupBy("k1", "k2", "source_id").agg(F.collect_list(F.struct("slot", "at", "begin", "n", "row")).alias("wanted"))
+    texts = keyed.select("k1", "k2", F.array_join(words(F.col("text")), " ").alias("text")).filter("text <> ''").dropDuplicates(["k1", "k2"])  # repeated rows have one text
+    # split once a text, as the variable of an outer lambda
+    cut = lambda w: F.transform("wanted", lambda x: F.struct(x["slot"].alias("slot"), x["at"].alias("at"), x["row"].alias("row"), F.array_join(F.slice(w, x["begin"] + 1, x["n"]), " ").alias("text")))
+    cuts = texts.hint("merge").join(wanted, ["k1", "k2"]).select("source_id", F.explode(F.flatten(F.transform(F.array(F.split("text", " ", -1)), cut))).alias("x")).select("source_id", "x.*")
+    cuts = cuts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), shard).withColumn("shard", shard)
+    mixed = cuts.groupBy("shard", "source_id", "slot").agg(F.sort_array(F.collect_list(F.struct("at", "row", "text"))).alias("_x"))
+    mixed = mixed.join(small(sources.select("source_id", "blocks")), "source_id").select(
+        "shard", "source_id", "slot", F.floor(F.col("slot") / F.col("blocks")).alias("pass"), block_of(F.floor(F.col("slot") / F.col("blocks"))).alias("block"),
+        F.split(F.array_join("_x.text", " "), " ", -1).alias("tokens"),
+        F.transform("_x", lambda x: F.struct(x["row"].alias("row"), F.size(F.split(x["text"], " ", -1)).alias("n"))).alias("parts"),
     )
-    mixed = mixed.repartition("shard").sortWithinPartitions("shard", F.xxhash64("source_id", "slot", F.lit(seed + 2)), "source_id", "slot")
-    slots = stored(mixed.withColumn("tokens", F.split("tokens", " ", -1)), "mix-shards")
+    slots = stored(mixed.sortWithinPartitions("shard", F.xxhash64("source_id", "slot", F.lit(seed + 2)), "source_id", "slot"), "mix-shards")
     taken = slots.select(F.explode("parts").alias("x")).groupBy("x.row").agg(F.sum("x.n").alias("taken"))
     result = (
         sized.join(taken, "row", "left")

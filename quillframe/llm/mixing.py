@@ -108,7 +108,9 @@ def mix_sources(docs: DataFrame, weights=(5, 2, 1), cap: int = 3, block_words: i
     # to the shards once. The planner takes what a few chunks explode into for small; the hint keeps it from broadcasting that
     wanted = pieces.join(slots.hint("merge"), ["source_id", "block"])
     wanted = wanted.groupBy("k1", "k2", "source_id").agg(F.collect_list(F.struct("slot", "at", "begin", "n", "row")).alias("wanted"))
-    texts = keyed.select("k1", "k2", F.array_join(words(F.col("text")), " ").alias("text")).filter("text <> ''").dropDuplicates(["k1", "k2"])  # repeated rows have one text
+    texts = keyed.select("k1", "k2", F.array_join(words(F.col("text")), " ").alias("text")).filter("text <> ''")
+    if not sized.groupBy("k1", "k2").count().filter("count > 1").isEmpty():  # repeated rows have one text; without any there is no need to sort all
+        texts = texts.dropDuplicates(["k1", "k2"])
     # split once a text, as the variable of an outer lambda
     cut = lambda w: F.transform("wanted", lambda x: F.struct(x["slot"].alias("slot"), x["at"].alias("at"), x["row"].alias("row"), F.array_join(F.slice(w, x["begin"] + 1, x["n"]), " ").alias("text")))
     cuts = texts.hint("merge").join(wanted, ["k1", "k2"]).select("source_id", F.explode(F.flatten(F.transform(F.array(F.split("text", " ", -1)), cut))).alias("x")).select("source_id", "x.*")

@@ -29,7 +29,7 @@ WORDS = 5
 COORDINATES = 64
 #: Coordinates at the roots of the trees. A pair of similarity 0.75 that no root keeps together has probability 0.25 ** 14.
 ROOTS = 14
-#: Members of a node that are compared exhaustively. Larger ones are compared in blocks of half of it.
+#: Members of a node that are compared exhaustively, and of a block of a larger one.
 LIMIT = 256
 #: Blocks of members outside the largest component that meet the rest of their node; beyond it a node branches.
 CHUNKS = 4
@@ -339,8 +339,8 @@ def links(nodes: DataFrame, texts: DataFrame, limit: int = LIMIT, roots: int = R
         counts = state.groupBy("path", "label").agg(F.count("*").alias("m")).coalesce(tasks)
         mixed = counts.groupBy("path").agg(F.max_by("label", F.struct("m", "label")).alias("top"), F.max("m").alias("most"), F.sum("m").alias("n"))
         mixed = stored(mixed.filter("most < n").coalesce(tasks), "minhash-mixed")
-        ready = (F.col("n") - F.col("most") <= CHUNKS * (limit // 2)) | F.lit(level >= deepest)
-        pending = [_jobs(_cells(state, mixed.filter(ready), limit // 2, tasks), held, tasks)]
+        ready = (F.col("n") - F.col("most") <= CHUNKS * limit) | F.lit(level >= deepest)
+        pending = [_jobs(_cells(state, mixed.filter(ready), limit, tasks), held, tasks)]
         rows = state.join(mixed.filter(~ready).select("path"), "path").select("path", "id").coalesce(tasks)
         rows = stored(_children(rows, held, roots, tasks), "minhash-rows")
         level += 1

@@ -13,10 +13,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow.dataset as pads
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import small_batches, stored
+from quillframe.llm.common import shared_path, small_batches, stored
 
 ORDER = 5
 BITS = 12
@@ -191,7 +193,10 @@ def log_probability(codes: np.ndarray, places: np.ndarray, tables: dict[int, Tab
 
 
 def perplexities(docs: DataFrame, model: list[DataFrame], shard_entries: int = SHARD_ENTRIES) -> DataFrame:
-    """Adds logp and n_chars_scored to docs. Each shard of the model is a pass over the texts, its tables a broadcast of bounded size."""
+    """Adds logp and n_chars_scored to docs. Each shard of the model is a pass over the texts; workers read it from the shared folder.
+
+    Null and empty texts have logp 0; repeated rows are scored alike; an empty table gives no rows. docs may have any other columns.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     entries = model[0]
@@ -199,18 +204,16 @@ def perplexities(docs: DataFrame, model: list[DataFrame], shard_entries: int = S
         entries = entries.unionByName(m)
     entries = stored(entries, "kn-model")
     shards = max(1, -(-entries.count() // shard_entries))
-    out, parts = docs, []
+    out, parts, base = docs, [], shared_path(spark, "kn-shards")
     for s in range(shards):
         mine = entries if shards == 1 else entries.filter((F.col("before") < 0) | (F.pmod(F.xxhash64("before"), F.lit(shards)) == s))
-        got = mine.select("level", "key", "value").toPandas()
-        level, key, value = got["level"].to_numpy(), got["key"].to_numpy().astype(np.uint64), got["value"].to_numpy(np.float32)
-        floor = float(value[level == 0][0])
+        path = f"{base}/{s}"
+        mine.select("level", "key", "value").write.parquet(path)
         chosen = None
         if shards > 1:
             chosen = np.zeros(VOCABULARY, bool)
             chosen[[r[0] for r in spark.range(VOCABULARY).filter(F.pmod(F.xxhash64("id"), F.lit(shards)) == s).collect()]] = True
-        held = spark.sparkContext.broadcast(({int(k): (key[level == k], value[level == k]) for k in set(range(-ORDER, ORDER + 1)) - {0, -1}}, floor, chosen))
-        out = out.withColumn(f"_kn{s}", _scorer(held)(F.coalesce("text", F.lit(""))))
+        out = out.withColumn(f"_kn{s}", _scorer(path, chosen)(F.coalesce("text", F.lit(""))))
         parts.append(F.col(f"_kn{s}"))
     total = parts[0]
     for p in parts[1:]:
@@ -218,14 +221,27 @@ def perplexities(docs: DataFrame, model: list[DataFrame], shard_entries: int = S
     return out.withColumns({"logp": total, "n_chars_scored": F.length(F.coalesce("text", F.lit(""))).cast("long")}).drop(*[f"_kn{s}" for s in range(shards)])
 
 
-def _scorer(held):
-    tables: dict = {}
+#: Shards that a worker has read, by path.
+_read: dict[str, tuple[dict[int, Table], float]] = {}
+
+
+def _shard(path: str) -> tuple[dict[int, Table], float]:
+    """The tables of a stored shard and the log-probability of an unknown character."""
+    if path not in _read:
+        fs, base = pafs.FileSystem.from_uri(path)
+        got = pads.dataset(base, filesystem=fs, format="parquet").to_table()
+        level, key, value = (got[c].to_numpy() for c in ("level", "key", "value"))
+        tables = {k: Table.build(key[level == k].astype(np.uint64), value[level == k].astype(np.float32)) for k in set(range(-ORDER, ORDER + 1)) - {0, -1}}
+        for old in [p for p in _read if p.rsplit("/", 1)[0] != path.rsplit("/", 1)[0]]:  # of another model
+            del _read[old]
+        _read[path] = tables, float(value[level == 0][0])
+    return _read[path]
+
 
+def _scorer(path: str, chosen: np.ndarray | None):
     @F.pandas_udf("double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        raw, floor, chosen = held.value
-        if not tables:
-            tables.update({k: Table.build(*kv) for k, kv in raw.items()})
+        tables, floor = _shard(path)
         for series in texts:
             codes, starts, lengths = packed(list(series))
             sums = np.zeros(len(series))

@@ -60,16 +60,24 @@ def sniff(spark: SparkSession, path: str, dialect: d.Dialect) -> tuple[list[str]
 def scan(spark: SparkSession, path: str, dialect: d.Dialect | None = None, multiline: bool = True, exact: bool | None = None) -> Rows:
     """Rows of the files at `path`. All files have the first one's dialect and names, and a header each if it has one.
 
-    multiline=False lets large files split, where no field holds a line end. exact: forces a path; otherwise the fast one is taken where
-    it gives the same rows.
+    multiline=False lets large files split, where no field holds a line end; carriage returns end records there as well. exact: forces
+    a path; otherwise the fast one is taken where it gives the same rows. With multiline, Spark's reader settles the record end by what
+    comes first in a file, so all files are searched for a carriage return, by a splittable scan, before that path is taken.
     """
     found, r, data = sniff(spark, path, dialect or d.guessed())
-    fast = r.header <= 0 and r.dialect.ragged == d.IGNORE_ROW and r.width > 0 and b"\r" not in data
+    fast = r.header <= 0 and r.dialect.ragged == d.IGNORE_ROW and r.width > 0
+    if fast and exact is None and multiline:
+        fast = b"\r" not in data and not returns(spark, found)
     if exact or (exact is None and not fast):
         return shaped(exact_records(spark, found, r), r)
     return fast_scan(spark, found, r, multiline)
 
 
+def returns(spark: SparkSession, paths: list[str]) -> bool:
+    """Whether any of the files holds a carriage return. Reads all of them where there is none."""
+    return not spark.read.option("lineSep", "\n").text(paths).filter(F.col("value").contains("\r")).isEmpty()
+
+
 def names_of(r: d.Resolved) -> tuple[str, ...]:
     return r.names if r.names is not None else tuple(f"_c{k}" for k in range(r.width))
 

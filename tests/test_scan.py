@@ -171,3 +171,14 @@ def test_generated_rows_round_trip(spark, tmp_path):
     sink.write(df, str(tmp_path / "g"))
     back = delimited.scan(spark, str(tmp_path / "g"), d.Dialect(), multiline=False).named()
     assert sorted(int(r["col_C"]) for r in back.collect()) == [5 * k + 2 for k in range(1000)]
+
+
+def test_record_ends_that_change_far_into_a_file(spark, tmp_path):
+    """Beyond the bytes that the dialect is settled by, lone carriage returns and CRLF end records on every path."""
+    (tmp_path / "late.csv").write_bytes(b"a,b\n" + b"".join(b"%d,some text here\n" % k for k in range(30_000)) + b"3,4\r5,6\r7,8")
+    (tmp_path / "later.csv").write_bytes(b"a,b\n1,2\r\n3,4\r")
+    for path, n in (("late.csv", 30_003), ("", 30_005)):
+        for args in ({}, {"multiline": False}, {"exact": True}):
+            rows = delimited.scan(spark, str(tmp_path / path), **args)
+            assert rows.df.count() == n
+            assert {r["_c1"] for r in rows.df.filter("_c0 in ('5', '7')").collect()} >= {"6", "8"}

@@ -1,8 +1,8 @@
 """Mixing sources to target weights, on built-in functions alone.
 
-Words of a source are packed into fixed-length blocks; the slots of a source's quota fall on output shards at random, are mapped
-through the source's pseudorandom index permutation, one per pass, and are joined to the blocks by index. The mixed shards are written,
-and what a document gave is counted from them.
+Words of a source are packed into fixed-length blocks; the slots of a source's quota fall on output shards at random and are tied to
+block indexes by the source's pseudorandom permutations, one per pass; pieces of blocks are joined by that index. The mixed shards are
+written, and what a document gave is counted from them.
 """
 
 from __future__ import annotations
@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 
 from quillframe.llm.common import stored, words
 
-#: Primes over 2**31; no count of blocks is a multiple of two of them.
+#: Primes over 2**31.
 PRIMES = (2147483659, 2147483693, 2147483713, 2147483743, 2147483777, 2147483783, 2147483813, 2147483857)
 #: Sources up to this many rows are broadcast; beyond it the joins on the source shuffle.
 BROADCAST_SOURCES = 20_000
-CHUNK = 4096
+#: Buckets whose totals one window adds up.
+GROUP = 2048
 
 
 def source_targets(sized: DataFrame, weights=(5, 2, 1), cap: int = 3) -> DataFrame:
@@ -45,6 +46,36 @@ def source_targets(sized: DataFrame, weights=(5, 2, 1), cap: int = 3) -> DataFra
     return s.select("source", F.col("source_id").cast("int").alias("source_id"), "source_size", "weight", target.alias("target"))
 
 
+def passes(sources: DataFrame, cap: int, seed: int) -> DataFrame:
+    """Adds passes: an array of (pass, step, shift), the permutation of each pass that the source's quota reaches.
+
+    A step is a product modulo the source's blocks of those of 24 prime factors that a hash has bits for and that don't divide the
+    number of blocks, so it has no divisor in common with it, and block -> step * block + shift is a permutation.
+    """
+    blocks = F.col("blocks")
+    times = lambda x, y: ((x.cast("decimal(19,0)") * y.cast("decimal(19,0)")) % blocks).cast("long")
+    primes = F.array(*[F.lit(p) for p in PRIMES])
+
+    def one(p):
+        key = F.xxhash64("source_id", p, F.lit(seed))
+
+        def factor(step, j):
+            prime = F.element_at(primes, j % len(PRIMES) + 1)
+            return F.when((F.getbit(key, j) == 1) & (blocks % prime > 0), times(step, prime % blocks)).otherwise(step)
+
+        step = F.aggregate(F.sequence(F.lit(0), F.lit(23)), F.lit(1).cast("long"), factor)
+        return F.struct(p.cast("long").alias("pass"), step.alias("step"), F.pmod(F.xxhash64("source_id", p, F.lit(seed + 3)), blocks).alias("shift"))
+
+    used = F.filter(F.sequence(F.lit(0), F.lit(cap - 1)), lambda p: p * blocks < F.col("quota"))
+    return sources.withColumn("passes", F.when(blocks > 0, F.transform(used, one)))
+
+
+def slot_of(block, p, blocks):
+    """Where a pass puts a block, counted within the pass; the product may go beyond 64 bits."""
+    far = (p["step"].cast("decimal(19,0)") * block.cast("decimal(19,0)") + p["shift"]) % blocks
+    return F.when(blocks < 1 << 31, (p["step"] * block + p["shift"]) % blocks).otherwise(far.cast("long"))
+
+
 def mix_sources(docs: DataFrame, weights=(5, 2, 1), cap: int = 3, block_words: int = 32, shard_slots: int = 4096, seed: int = 17):
     """Mixes documents to target weights. Returns (documents, slots).
 
@@ -53,8 +84,8 @@ def mix_sources(docs: DataFrame, weights=(5, 2, 1), cap: int = 3, block_words: i
     block's words in order) and parts (row, n: how many of them each input row gave). A source's quota of slots is its target in whole blocks. Where a slot
     falls among the output shards is a uniform draw, so a shard's counts of sources are a multinomial draw, conditioned on every
     source's total being its quota; drawn without that condition, small sources would miss their targets by the sampling error.
-    A pass maps slot numbers through a permutation of the source's block numbers, so a pass takes no block twice, and cap passes
-    bound a document's words by cap times its size.
+    A pass ties slot numbers to the source's block numbers by a permutation, so a pass takes no block twice, and cap passes bound a
+    document's words by cap times its size.
 
     Order within a source follows a hash of doc_id, so reruns agree. Null text has size 0 and takes 0; null sources are one
     source, the last; rows with equal or null doc_id are rows of their own; an empty table gives empty results. Columns other than
@@ -73,52 +104,50 @@ def mix_sources(docs: DataFrame, weights=(5, 2, 1), cap: int = 3, block_words: i
     small = F.broadcast if sums["n"] <= BROADCAST_SOURCES else (lambda x: x)
     shards = max(1, -(-(sums["slots"] or 0) // shard_slots))
 
-    # word offsets within a source: hash buckets bound what one window holds, and their totals give each bucket's start
+    # word offsets within a source: hash buckets bound what one window holds, and totals of groups of buckets and of buckets give starts
     buckets = max(1, -(-n_rows // 2000))
-    placed = sized.join(small(sources.select(F.col("source").alias("_s"), "source_id")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    per_pass = passes(sources, cap, seed).select("source_id", F.col("source").alias("_s"), "blocks", "quota", "passes")
+    placed = sized.filter("size > 0").join(small(per_pass), F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "source")
     placed = placed.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("row")), F.lit(seed)), F.lit(buckets)))
-    starts = placed.groupBy("source_id", "bucket").agg(F.sum("size").alias("words"))
-    before = Window.partitionBy("source_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = starts.select("source_id", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("start"))
+    placed = placed.withColumn("group", F.floor(F.col("bucket") / GROUP))
+    starts = placed.groupBy("source_id", "group", "bucket").agg(F.sum("size").alias("words"))
+    upto = lambda w: F.coalesce(F.sum("words").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = starts.groupBy("source_id", "group").agg(F.sum("words").alias("words")).select("source_id", "group", upto(Window.partitionBy("source_id").orderBy("group")).alias("_group"))
+    starts = starts.withColumn("_bucket", upto(Window.partitionBy("source_id", "group").orderBy("bucket"))).join(groups, ["source_id", "group"])
+    starts = starts.select("source_id", "bucket", (F.col("_group") + F.col("_bucket")).alias("start"))
     inside = Window.partitionBy("source_id", "bucket").orderBy(F.xxhash64("doc_id"), "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("_in", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(starts, ["source_id", "bucket"])
-    placed = placed.withColumn("at", F.col("start") + F.col("_in"))
-    B = F.lit(block_words)
-    pieces = placed.filter("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("at") / B), F.floor((F.col("at") + F.col("size") - 1) / B))))
-    first, last = F.greatest(F.col("at"), F.col("block") * B), F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * B)
-    # where in its block a piece begins, where in its document, and how many words it has
-    pieces = pieces.select("source_id", "block", "k1", "k2", "row", (first - F.col("block") * B).cast("int").alias("at"), (first - F.col("at")).cast("int").alias("begin"), (last - first).cast("int").alias("n"))
-
-    chunks = sources.filter("quota > 0").select("source_id", "blocks", "quota", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("quota") - 1) / CHUNK))).alias("chunk"))
-    chunks = chunks.repartition("source_id", "chunk")
-    slots = chunks.select("source_id", "blocks", F.explode(F.sequence(F.col("chunk") * CHUNK, F.least(F.col("quota"), (F.col("chunk") + 1) * CHUNK) - 1)).alias("slot"))
-
-    def block_of(nth):
-        """The block of a slot: its number within the pass through the pass's permutation."""
-        key = F.shiftrightunsigned(F.xxhash64("source_id", nth, F.lit(seed)), 2)
-        prime = lambda k: F.element_at(F.array(*[F.lit(p) for p in PRIMES]), (F.pmod(key + k, F.lit(len(PRIMES))) + 1).cast("int"))
-        step, index = F.when(F.col("blocks") % prime(0) == 0, prime(1)).otherwise(prime(0)) % F.col("blocks"), F.col("slot") % F.col("blocks")
-        far = (step.cast("decimal(19,0)") * index.cast("decimal(19,0)") + F.pmod(key, F.col("blocks"))) % F.col("blocks")  # the product may pass 64 bits
-        return F.when(F.col("blocks") < 1 << 31, (step * index + F.pmod(key, F.col("blocks"))) % F.col("blocks")).otherwise(far.cast("long"))
-
-    slots = slots.select("source_id", "slot", block_of(F.floor(F.col("slot") / F.col("blocks"))).alias("block"))
-    shard = F.pmod(F.xxhash64("source_id", "slot", F.lit(seed + 1)), F.lit(shards))
-
-    # blocks are joined by index before they hold any text: a piece of a document learns its slots, then the texts are cut and dealt
-    # to the shards once. The planner takes what a few chunks explode into for small; the hint keeps it from broadcasting that
-    wanted = pieces.join(slots.hint("merge"), ["source_id", "block"])
-    wanted = wanted.groupBy("k1", "k2", "source_id").agg(F.collect_list(F.struct("slot", "at", "begin", "n", "row")).alias("wanted"))
+    placed = placed.select("k1", "k2", "row", "source_id", "size", (F.col("start") + F.col("_in")).alias("at"), "blocks", "quota", "passes")
+
     texts = keyed.select("k1", "k2", F.array_join(words(F.col("text")), " ").alias("text")).filter("text <> ''")
     if not sized.groupBy("k1", "k2").count().filter("count > 1").isEmpty():  # repeated rows have one text; without any there is no need to sort all
         texts = texts.dropDuplicates(["k1", "k2"])
+
+    # A permutation goes from a pass's blocks to its slots, so a text that knows its place computes the slots of all its blocks, is cut
+    # there, and its pieces meet those of other documents at (source, slot): blocks are joined by index without a table of blocks
+    B, at, end = F.lit(block_words).cast("long"), F.col("at"), F.col("at") + F.col("size")
+
+    def pieces(w):
+        def piece(block, p):
+            first, last = F.greatest(at, block * B), F.least(end, (block + 1) * B)
+            return F.struct(
+                (p["pass"] * F.col("blocks") + slot_of(block, p, F.col("blocks"))).alias("slot"), p["pass"].alias("pass"), block.alias("block"), (first - block * B).cast("int").alias("at"),
+                (first - at + 1).cast("int").alias("begin"), (last - first).cast("int").alias("n"),
+            )
+
+        own = F.sequence(F.floor(at / B), F.floor((end - 1) / B))
+        taken = F.filter(F.flatten(F.transform(own, lambda block: F.transform("passes", lambda p: piece(block, p)))), lambda x: x["slot"] < F.col("quota"))
+        return F.transform(taken, lambda x: F.struct(x["slot"].alias("slot"), x["pass"].alias("pass"), x["block"].alias("block"), x["at"].alias("at"), F.array_join(F.slice(w, x["begin"], x["n"]), " ").alias("text")))
+
+    # the planner takes a filtered table for small; the hint keeps it from broadcasting texts or places
+    cuts = texts.hint("merge").join(placed, ["k1", "k2"])
     # split once a text, as the variable of an outer lambda
-    cut = lambda w: F.transform("wanted", lambda x: F.struct(x["slot"].alias("slot"), x["at"].alias("at"), x["row"].alias("row"), F.array_join(F.slice(w, x["begin"] + 1, x["n"]), " ").alias("text")))
-    cuts = texts.hint("merge").join(wanted, ["k1", "k2"]).select("source_id", F.explode(F.flatten(F.transform(F.array(F.split("text", " ", -1)), cut))).alias("x")).select("source_id", "x.*")
-    cuts = cuts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), shard).withColumn("shard", shard)
-    mixed = cuts.groupBy("shard", "source_id", "slot").agg(F.sort_array(F.collect_list(F.struct("at", "row", "text"))).alias("_x"))
-    mixed = mixed.join(small(sources.select("source_id", "blocks")), "source_id").select(
-        "shard", "source_id", "slot", F.floor(F.col("slot") / F.col("blocks")).alias("pass"), block_of(F.floor(F.col("slot") / F.col("blocks"))).alias("block"),
-        F.split(F.array_join("_x.text", " "), " ", -1).alias("tokens"),
+    cuts = cuts.select("source_id", "row", F.explode(F.flatten(F.transform(F.array(F.split("text", " ", -1)), pieces))).alias("x")).select("source_id", "row", "x.*")
+    cuts = cuts.withColumn("shard", F.pmod(F.xxhash64("source_id", "slot", F.lit(seed + 1)), F.lit(shards)))
+    cuts = cuts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard")
+    mixed = cuts.groupBy("shard", "source_id", "slot", "pass", "block").agg(F.sort_array(F.collect_list(F.struct("at", "row", "text"))).alias("_x"))
+    mixed = mixed.select(
+        "shard", "source_id", "slot", "pass", "block", F.split(F.array_join("_x.text", " "), " ", -1).alias("tokens"),
         F.transform("_x", lambda x: F.struct(x["row"].alias("row"), F.size(F.split(x["text"], " ", -1)).alias("n"))).alias("parts"),
     )
     slots = stored(mixed.sortWithinPartitions("shard", F.xxhash64("source_id", "slot", F.lit(seed + 2)), "source_id", "slot"), "mix-shards")

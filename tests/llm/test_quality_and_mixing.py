@@ -1,4 +1,5 @@
 import collections
+import math
 import random
 import re
 
@@ -125,3 +126,34 @@ def test_mix_holds_the_words_of_each_block(spark):
             for t in sum(mine, []):
                 by_doc[int(t[1:].split("w")[0])].append(int(t.split("w")[1]))
             assert all(v == list(range(sizes[k])) for k, v in by_doc.items())
+
+
+def test_passes_are_permutations_of_any_number_of_blocks(spark):
+    counts = [1, 2, 7, 1000, (1 << 31) - 1, mixing.PRIMES[0], 3 * mixing.PRIMES[2], 1 << 40, (1 << 55) + 11]
+    df = spark.createDataFrame([(k, b, 3 * b) for k, b in enumerate(counts)], "source_id int, blocks long, quota long")
+    rows = mixing.passes(df, 3, 17)
+    steps = set()
+    for r in rows.collect():
+        assert [p["pass"] for p in r["passes"]] == [0, 1, 2]
+        for p in r["passes"]:
+            assert math.gcd(p["step"], r["blocks"]) == 1 and 0 <= p["shift"] < r["blocks"]
+            steps.add(p["step"])
+    assert len(steps) > 15
+    at = rows.withColumn("p", F.explode("passes")).withColumn("block", F.explode(F.array(F.lit(0).cast("long"), F.col("blocks") - 1, F.floor(F.col("blocks") / 2))))
+    for r in at.withColumn("slot", mixing.slot_of(F.col("block"), F.col("p"), F.col("blocks"))).collect():
+        assert r["slot"] == (r["p"]["step"] * r["block"] + r["p"]["shift"]) % r["blocks"]
+    # a pass that the quota does not reach is not made
+    few = spark.createDataFrame([(0, 10, 11), (1, 10, 10), (2, 0, 0)], "source_id int, blocks long, quota long")
+    assert [len(r["passes"] or []) for r in mixing.passes(few, 3, 17).orderBy("source_id").collect()] == [2, 1, 0]
+
+
+def test_mix_offsets_over_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "GROUP", 2)
+    rows = [(k, f"w{k} " * (k % 5), "a" if k % 3 else "b") for k in range(9000)]
+    out, slots = mixing.mix_sources(docs(spark, rows), block_words=8)
+    taken = {r["doc_id"]: r["taken"] for r in out.collect()}
+    seen = collections.Counter(t for r in slots.select("tokens").collect() for t in r["tokens"])
+    assert all(taken[k] == seen[f"w{k}"] for k, _, _ in rows)
+    # all pieces of a block are there: blocks but a source's last are full
+    short = slots.filter(F.size("tokens") < 8).select("source_id", "block").distinct().groupBy("source_id").count().collect()
+    assert all(r["count"] == 1 for r in short)

@@ -47,10 +47,11 @@ def source_targets(sized: DataFrame, weights=(5, 2, 1), cap: int = 3) -> DataFra
 
 
 def passes(sources: DataFrame, cap: int, seed: int) -> DataFrame:
-    """Adds passes: an array of (pass, step, shift), the permutation of each pass that the source's quota reaches.
+    """Adds passes: an array of (pass, step, back, shift), the permutation of each pass that the source's quota reaches.
 
     A step is a product modulo the source's blocks of those of 24 prime factors that a hash has bits for and that don't divide the
-    number of blocks, so it has no divisor in common with it, and block -> step * block + shift is a permutation.
+    number of blocks, so it has no divisor in common with it, and block -> step * block + shift is a permutation. back is the step's
+    inverse, by Euclid's algorithm, which takes at most 92 steps of division for 64 bits.
     """
     blocks = F.col("blocks")
     times = lambda x, y: ((x.cast("decimal(19,0)") * y.cast("decimal(19,0)")) % blocks).cast("long")
@@ -66,14 +67,35 @@ def passes(sources: DataFrame, cap: int, seed: int) -> DataFrame:
         step = F.aggregate(F.sequence(F.lit(0), F.lit(23)), F.lit(1).cast("long"), factor)
         return F.struct(p.cast("long").alias("pass"), step.alias("step"), F.pmod(F.xxhash64("source_id", p, F.lit(seed + 3)), blocks).alias("shift"))
 
+    def inverse(step):
+        state = lambda r, r1, t, t1: F.struct(r.alias("r"), r1.alias("r1"), t.alias("t"), t1.alias("t1"))
+
+        def divided(x, _):
+            q = F.call_function("div", x["r"], x["r1"])
+            return F.when(x["r1"] == 0, x).otherwise(state(x["r1"], x["r"] - q * x["r1"], x["t1"], x["t"] - q * x["t1"]))
+
+        first = state(blocks, step, F.lit(0).cast("long"), F.lit(1).cast("long"))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(92)), first, divided, lambda x: F.pmod(x["t"], blocks))
+
     used = F.filter(F.sequence(F.lit(0), F.lit(cap - 1)), lambda p: p * blocks < F.col("quota"))
-    return sources.withColumn("passes", F.when(blocks > 0, F.transform(used, one)))
+    full = F.transform(F.transform(used, one), lambda p: F.struct(p["pass"].alias("pass"), p["step"].alias("step"), inverse(p["step"]).alias("back"), p["shift"].alias("shift")))
+    return sources.withColumn("passes", F.when(blocks > 0, full))
+
+
+def _times(x, y, blocks):
+    """x * y modulo blocks, of numbers below blocks; the product may go beyond 64 bits."""
+    far = (x.cast("decimal(19,0)") * y.cast("decimal(19,0)")) % blocks
+    return F.when(blocks < 1 << 31, x * y % blocks).otherwise(far.cast("long"))
 
 
 def slot_of(block, p, blocks):
-    """Where a pass puts a block, counted within the pass; the product may go beyond 64 bits."""
-    far = (p["step"].cast("decimal(19,0)") * block.cast("decimal(19,0)") + p["shift"]) % blocks
-    return F.when(blocks < 1 << 31, (p["step"] * block + p["shift"]) % blocks).otherwise(far.cast("long"))
+    """Where a pass puts a block, counted over all passes. Counts of blocks stay below 2**62."""
+    return p["pass"] * blocks + (_times(p["step"], block, blocks) + p["shift"]) % blocks
+
+
+def block_of(slot, p, blocks):
+    """The block that a pass puts at a slot."""
+    return _times(p["back"], F.pmod(slot - p["pass"] * blocks - p["shift"], blocks), blocks)
 
 
 def mix_sources(docs: DataFrame, weights=(5, 2, 1), cap: int = 3, block_words: int = 32, shard_slots: int = 4096, seed: int = 17):
@@ -119,36 +141,37 @@ def mix_sources(docs: DataFrame, weights=(5, 2, 1), cap: int = 3, block_words: i
     placed = placed.withColumn("_in", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(starts, ["source_id", "bucket"])
     placed = placed.select("k1", "k2", "row", "source_id", "size", (F.col("start") + F.col("_in")).alias("at"), "blocks", "quota", "passes")
 
-    texts = keyed.select("k1", "k2", F.array_join(words(F.col("text")), " ").alias("text")).filter("text <> ''")
+    texts = keyed.select("k1", "k2", "text")
     if not sized.groupBy("k1", "k2").count().filter("count > 1").isEmpty():  # repeated rows have one text; without any there is no need to sort all
         texts = texts.dropDuplicates(["k1", "k2"])
 
     # A permutation goes from a pass's blocks to its slots, so a text that knows its place computes the slots of all its blocks, is cut
-    # there, and its pieces meet those of other documents at (source, slot): blocks are joined by index without a table of blocks
-    B, at, end = F.lit(block_words).cast("long"), F.col("at"), F.col("at") + F.col("size")
+    # there, and its pieces meet those of other documents at (source, slot): blocks are joined by index without a table of blocks.
+    # A piece goes with where it begins in its source's part of the mix, slot * block_words + offset, and the row that it comes from
+    B, at, end, n_blocks = F.lit(block_words).cast("long"), F.col("at"), F.col("at") + F.col("size"), F.col("blocks")
 
     def pieces(w):
         def piece(block, p):
-            first, last = F.greatest(at, block * B), F.least(end, (block + 1) * B)
-            return F.struct(
-                (p["pass"] * F.col("blocks") + slot_of(block, p, F.col("blocks"))).alias("slot"), p["pass"].alias("pass"), block.alias("block"), (first - block * B).cast("int").alias("at"),
-                (first - at + 1).cast("int").alias("begin"), (last - first).cast("int").alias("n"),
-            )
+            first = F.greatest(at, block * B)
+            return F.struct((slot_of(block, p, n_blocks) * B + first - block * B).alias("pos"), (first - at + 1).cast("int").alias("begin"), (F.least(end, (block + 1) * B) - first).cast("int").alias("n"))
 
         own = F.sequence(F.floor(at / B), F.floor((end - 1) / B))
-        taken = F.filter(F.flatten(F.transform(own, lambda block: F.transform("passes", lambda p: piece(block, p)))), lambda x: x["slot"] < F.col("quota"))
-        return F.transform(taken, lambda x: F.struct(x["slot"].alias("slot"), x["pass"].alias("pass"), x["block"].alias("block"), x["at"].alias("at"), F.array_join(F.slice(w, x["begin"], x["n"]), " ").alias("text")))
+        taken = F.filter(F.flatten(F.transform(own, lambda block: F.transform("passes", lambda p: piece(block, p)))), lambda x: x["pos"] < F.col("quota") * B)
+        return F.transform(taken, lambda x: F.struct(x["pos"].alias("pos"), F.array_join(F.slice(w, x["begin"], x["n"]), " ").alias("text")))
 
     # the planner takes a filtered table for small; the hint keeps it from broadcasting texts or places
     cuts = texts.hint("merge").join(placed, ["k1", "k2"])
     # split once a text, as the variable of an outer lambda
-    cuts = cuts.select("source_id", "row", F.explode(F.flatten(F.transform(F.array(F.split("text", " ", -1)), pieces))).alias("x")).select("source_id", "row", "x.*")
-    cuts = cuts.withColumn("shard", F.pmod(F.xxhash64("source_id", "slot", F.lit(seed + 1)), F.lit(shards)))
-    cuts = cuts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard")
-    mixed = cuts.groupBy("shard", "source_id", "slot", "pass", "block").agg(F.sort_array(F.collect_list(F.struct("at", "row", "text"))).alias("_x"))
+    cuts = cuts.select("source_id", "row", F.explode(F.flatten(F.transform(F.array(words(F.col("text"))), pieces))).alias("x")).select("source_id", "row", "x.*")
+    slot = F.floor(F.col("pos") / B)
+    shard = F.pmod(F.xxhash64("source_id", slot, F.lit(seed + 1)), F.lit(shards))
+    cuts = cuts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), shard).withColumns({"shard": shard, "slot": slot})
+    mixed = cuts.groupBy("shard", "source_id", "slot").agg(F.sort_array(F.collect_list(F.struct("pos", "row", "text"))).alias("_x"))
+    mixed = mixed.withColumn("tokens", F.split(F.array_join("_x.text", " "), " ", -1)).withColumn("_end", F.col("slot") * B + F.size("tokens"))
+    mixed = mixed.join(small(per_pass.select("source_id", "blocks", "passes")), "source_id").withColumn("_p", F.get("passes", F.floor(F.col("slot") / n_blocks).cast("int")))
     mixed = mixed.select(
-        "shard", "source_id", "slot", "pass", "block", F.split(F.array_join("_x.text", " "), " ", -1).alias("tokens"),
-        F.transform("_x", lambda x: F.struct(x["row"].alias("row"), F.size(F.split(x["text"], " ", -1)).alias("n"))).alias("parts"),
+        "shard", "source_id", "slot", "_p.pass", block_of(F.col("slot"), F.col("_p"), n_blocks).alias("block"), "tokens",
+        F.transform("_x", lambda x, k: F.struct(x["row"].alias("row"), (F.coalesce(F.get("_x", k + 1)["pos"], F.col("_end")) - x["pos"]).cast("int").alias("n"))).alias("parts"),
     )
     slots = stored(mixed.sortWithinPartitions("shard", F.xxhash64("source_id", "slot", F.lit(seed + 2)), "source_id", "slot"), "mix-shards")
     taken = slots.select(F.explode("parts").alias("x")).groupBy("x.row").agg(F.sum("x.n").alias("taken"))

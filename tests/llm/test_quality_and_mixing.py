@@ -140,8 +140,10 @@ def test_passes_are_permutations_of_any_number_of_blocks(spark):
             steps.add(p["step"])
     assert len(steps) > 15
     at = rows.withColumn("p", F.explode("passes")).withColumn("block", F.explode(F.array(F.lit(0).cast("long"), F.col("blocks") - 1, F.floor(F.col("blocks") / 2))))
-    for r in at.withColumn("slot", mixing.slot_of(F.col("block"), F.col("p"), F.col("blocks"))).collect():
-        assert r["slot"] == (r["p"]["step"] * r["block"] + r["p"]["shift"]) % r["blocks"]
+    at = at.withColumn("slot", mixing.slot_of(F.col("block"), F.col("p"), F.col("blocks"))).withColumn("again", mixing.block_of(F.col("slot"), F.col("p"), F.col("blocks")))
+    for r in at.collect():
+        assert r["slot"] == r["p"]["pass"] * r["blocks"] + (r["p"]["step"] * r["block"] + r["p"]["shift"]) % r["blocks"]
+        assert r["again"] == r["block"]
     # a pass that the quota does not reach is not made
     few = spark.createDataFrame([(0, 10, 11), (1, 10, 10), (2, 0, 0)], "source_id int, blocks long, quota long")
     assert [len(r["passes"] or []) for r in mixing.passes(few, 3, 17).orderBy("source_id").collect()] == [2, 1, 0]

@@ -135,6 +135,23 @@ def forest(model: RandomForestClassificationModel, feature) -> Column:
     return total / len(votes)
 
 
+def running(numbers: Column) -> Column:
+    """Running sums of an array of ints. Sums go over runs of about the root of its length, as an array that grows is copied with every number."""
+
+    def sums(x, of):
+        return F.slice(F.aggregate(x, F.array(F.lit(0)), lambda a, e: F.concat(a, F.array(F.element_at(a, -1) + of(e)))), 2, F.size(x))
+
+    def whole(x):
+        run = F.ceil(F.sqrt(F.size(x))).cast("int")
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / run).cast("int")), lambda k: F.slice(x, k * run + 1, run))
+        ends = F.transform(runs, lambda r: sums(r, lambda e: e))
+        upto = F.transform(F.array(ends), lambda e: F.arrays_zip(e.alias("e"), F.concat(F.array(F.lit(0)), sums(e, lambda r: F.element_at(r, -1))).alias("before")))[0]
+        return F.flatten(F.transform(F.filter(upto, lambda r: r["e"].isNotNull()), lambda r: F.transform(r["e"], lambda v: v + r["before"])))
+
+    # each array is bound to a variable once, as an expression that is named twice is computed twice
+    return F.when(F.size(numbers) > 0, F.transform(F.array(numbers), whole)[0]).otherwise(F.array().cast("array<int>"))
+
+
 FINDING = "array<struct<value:string,start:int,score:double,secret:boolean>>"
 
 
@@ -157,9 +174,8 @@ def scan(docs: DataFrame, model: RandomForestClassificationModel, least: float =
     rated = F.transform(F.transform(shown, lambda e: F.struct(e["v"].alias("v"), e["n"].alias("n"), *measured(e["v"], e["b"], e["a"]))), lambda e: F.struct(e["v"].alias("v"), e["n"].alias("n"), forest(model, lambda k: e[FEATURES[k]]).alias("p")))
     out = out.withColumn("_rated", rated)
     placed = F.transform("_rated", lambda e, i: F.struct(e["v"].alias("value"), i.alias("start"), e["p"].alias("score"), (e["p"] >= least).alias("secret")))
-    starts = F.aggregate("_rated", F.array(F.lit(0)), lambda a, e: F.concat(a, F.array(F.element_at(a, -1) + e["n"])))
-    out = out.withColumns({"_starts": F.when(n > 0, starts), "_placed": placed})
-    findings = F.zip_with("_placed", F.slice(F.coalesce("_starts", F.array(F.lit(0))), 2, F.greatest(n, F.lit(0))), lambda e, s: F.struct(e["value"].alias("value"), (s - F.length(e["value"])).alias("start"), e["score"].alias("score"), e["secret"].alias("secret")))
+    out = out.withColumns({"_ends": running(F.transform("_rated", lambda e: e["n"])), "_placed": placed})
+    findings = F.zip_with("_placed", "_ends", lambda e, s: F.struct(e["value"].alias("value"), (s - F.length(e["value"])).alias("start"), e["score"].alias("score"), e["secret"].alias("secret")))
     out = out.withColumn("findings", findings.cast(FINDING))
     bad = F.array_distinct(F.transform(F.filter("findings", lambda e: e["secret"]), lambda e: e["value"]))
     # longest first, so that a value within another doesn't leave the rest of it

@@ -1,3 +1,5 @@
+import hashlib
+import itertools
 import random
 
 import numpy as np
@@ -213,6 +215,23 @@ def test_secrets(spark):
         assert abs(votes[1] / sum(votes) - row.p) < 0.2  # the model weighs leaves by their purity, the expression counts votes
 
 
+def test_running_sums(spark):
+    rows = [(k, [(7 * j + k) % 50 for j in range(k)]) for k in [*range(30), 99, 100, 101, 5000]]
+    got = spark.createDataFrame(rows, "k int, x array<int>").select("k", "x", secret_scan.running(F.col("x")).alias("y")).collect()
+    for r in got:
+        assert r["y"] == list(itertools.accumulate(r["x"])), r["k"]
+
+
+def test_secrets_stand_where_their_starts_say(spark):
+    model = secret_scan.train(secret_scan.labelled_findings(spark))
+    text = " ".join(f'é token = "{hashlib.sha1(str(k).encode()).hexdigest()}" word-{k}-of-2026x /tmp/file{k:05}.txt' for k in range(300))
+    r = secret_scan.scan(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string"), model).orderBy("doc_id").collect()
+    assert len(r[0]["findings"]) >= 600 and sum(f["secret"] for f in r[0]["findings"]) >= 300
+    assert all(text[f["start"] :].startswith(f["value"]) for f in r[0]["findings"])
+    assert all(a["start"] < b["start"] for a, b in itertools.pairwise(r[0]["findings"]))
+    assert [x["findings"] for x in r[1:]] == [[], []] and [x["clean_text"] for x in r[1:]] == [None, ""]
+
+
 def test_secrets_query_finds_planted_tokens(spark):
     import re
 

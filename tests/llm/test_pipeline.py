@@ -1,4 +1,5 @@
 import corpus_pipeline
+from quillframe.llm.common import stored
 from quillframe.llm import decontam, minhash, toxicity
 from quillframe.llm.queries import QUERIES
 from tests.conftest import DATA
@@ -37,3 +38,23 @@ def test_stages_take_effect(spark):
 def test_stage_names_and_queries():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "secrets", "mixing"]
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+
+
+def test_stages_on_odd_rows(spark):
+    base = spark.read.parquet(f"{DATA}/documents.parquet").select(*corpus_pipeline.COLUMNS).limit(60)
+    odd = [(None, "a plain text without an id that says little", "en", "s", 5), (-1, None, "en", "s", None), (-2, "", None, None, 0), (-3, "twice the same row of a table", "en", "s", 3), (-3, "twice the same row of a table", "en", "s", 3), (-4, "long words " * 30000, "en", "s", 3)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = base.unionByName(spark.createDataFrame(odd, schema)).selectExpr("*", "1 as predicted", "2 as leaks", "3 as findings", "4 as clean_text", "5 as kept", "6 as size")
+    rows = stored(rows, "odd-rows")
+    n = rows.count()
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, rows, DATA)
+        ids = sorted(r["doc_id"] for r in out.select("doc_id").collect() if r["doc_id"] is not None and r["doc_id"] < 0)
+        assert ids == [-4, -3, -3, -2, -1], name
+        assert out.filter("doc_id is null").count() == 1, name
+        if name != "mixing":
+            assert out.columns == list(corpus_pipeline.COLUMNS)
+            assert out.filter("doc_id = -1 and text is null").count() == 1, name
+        if name in ("secrets", "mixing"):
+            assert out.count() == n
+        assert stage(spark, rows.filter("false"), DATA).count() == 0, name

@@ -45,12 +45,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """An eager reliable checkpoint, with the shared folder set first."""
-    shared_root(df.sparkSession)
-    return df.checkpoint()
-
-
 def replaced(text: Column, chars: str, by: str = "") -> Column:
     """text with each of the characters replaced; byte searches, much cheaper than a regular expression or translate."""
     for c in chars:

@@ -149,25 +149,41 @@ def edited(rng, text, n):
 def test_leaks_against_full_alignment():
     rng = random.Random(3)
     items = [(k, " ".join(words(rng, n))) for k, n in enumerate((12, 25, 40, 40))]
-    ix = decontam.index([*items, (9, "tiny"), (10, ""), (11, None)], 0.10)
+    items += [(4, "tiny"), (5, "e"), (6, "short item"), (7, "an item of some 21 ch"), (8, "thirty one characters, no more.")]
+    ix = decontam.index([*items, (10, ""), (11, None)], 0.10)
     texts = [" ".join(words(rng, 60)) for _ in range(5)]
-    for _, item in items:
+    for _, item in items[:4]:
         for n in (0, 1, 4, 9, 12, 20, 40):
             texts.append(" ".join([*words(rng, rng.randint(0, 40)), edited(rng, decontam.normal(item), n), *words(rng, rng.randint(0, 40))]))
-    texts += ["tiny", "", "tiny bit"]
+    for n in (0, 1, 2, 3, 5):
+        texts += [" ".join([*words(rng, rng.randint(0, 9)), edited(rng, item, n), *words(rng, 3)]) for _, item in items[6:] for _ in range(4)]
+    texts += ["tiny", "", "a tiny bit", "untinyness"]
     texts = [decontam.normal(t) for t in texts]
     got = decontam.leaks(texts, ix)
     for t, found in zip(texts, got, strict=True):
         want = {}
-        for k, (i, item) in enumerate(items):
-            e = least_edits(decontam.normal(item), t)
-            if e <= ix.edits[k]:
+        for i, item in items:
+            item = decontam.normal(item)
+            e = least_edits(item, t)
+            if e <= len(item) // 10:
                 want[i] = e
-        assert {f[0] for f in found if f[0] < 9} == set(want)
+        assert {f[0] for f in found} == set(want) and len(found) == len(want)
         for i, e, a, b in found:
-            if i < 9:
-                assert want[i] <= e <= ix.edits[i] and least_edits(decontam.normal(items[i][1]), t[a:b]) <= e
-        assert [f[0] for f in found if f[0] == 9] == ([9] if t == "tiny" else [])
+            assert want[i] <= e <= len(items[i][1]) // 10 and least_edits(decontam.normal(items[i][1]), t[a:b]) <= e
+
+
+def test_leaks_in_repetitive_texts(monkeypatch):
+    rng = random.Random(8)
+    items = [(0, "-" * 200), (1, "-" * 150 + "x" * 20), (2, " ".join(words(rng, 30))), (3, "ab" * 60), (4, "--"), (5, "=" * 90)]
+    texts = ["-" * 3000, "-" * 170 + " " + "ab" * 700, items[2][1] + " " + "-" * 400 + "x" * 25, "-+" * 900, "plain", "ab" * 20 + "-" * 182]
+    usual = [sorted(x) for x in decontam.leaks(texts, decontam.index(items, 0.10))]
+    for most in (1, 50, 3000):  # groups of items, then single texts, then searches in full
+        monkeypatch.setattr(decontam, "PAIRS", most)
+        got = decontam.leaks(texts, decontam.index(items, 0.10))
+        for t, found, other in zip(texts, got, usual, strict=True):
+            want = {i: least_edits(item, t) for i, item in items}
+            assert sorted(f[0] for f in found) == [i for i, e in want.items() if e <= len(items[i][1]) // 10] == [f[0] for f in other]
+            assert all(want[i] <= e and least_edits(items[i][1], t[a:b]) <= e for i, e, a, b in found)
 
 
 def test_decontamination_table(spark):

@@ -13,7 +13,7 @@ def test_query_equals_sql(spark, name):
 
 def test_composite_keys_cover_the_whole_table(spark):
     lines = spark.read.parquet(f"{DATA}/lineitem.parquet")
-    got = catalog.QUERIES["keyed_composite_whole"](spark, DATA)
+    got = catalog.QUERIES["keyed_composite"](spark, DATA)
     assert got.count() == lines.select("l_orderkey", "l_linenumber").distinct().count() > 48
 
 

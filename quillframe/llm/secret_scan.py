@@ -6,22 +6,31 @@ redacted within their row: no shuffle, and no row leaves the JVM.
 
 from __future__ import annotations
 
-import re
+from functools import reduce
+from operator import add
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A candidate: a run of at least 12 characters that keys are made of, with a digit and a letter; it begins where the run does.
-RUN = r"A-Za-z0-9+/_=~."
-CANDIDATE = rf"(?<![{RUN}-])(?=[A-Za-z+/_=~.-]*+[0-9])(?=[0-9+/_=~.-]*+[A-Za-z])[{RUN}-]{{12,}}+"
+from quillframe.llm.common import shared_path
+
+#: A candidate: a run of at least 12 characters that keys are made of, with a digit and a letter; it begins where the run does. An
+#: assignment sign parts it from a name before it.
+RUN = r"A-Za-z0-9+/_~."
+CANDIDATE = rf"(?<![{RUN}-])(?=[A-Za-z+/_~.-]*+[0-9])(?=[0-9+/_~.-]*+[A-Za-z])[{RUN}-]{{12,}}+={{0,2}}"
+#: A name of a secret and an assignment; what follows it is a candidate from 8 characters on, whatever it is made of.
+NAMED = r"(?i:key|token|secret|passw(?:or)?d|pwd|auth|credentials?)[\"'`]?\s{0,2}[:=]\s{0,2}[\"'`]?"
+VALUE = r"[^\s\"'`,;<>(){}\[\]]{7,}[^\s\"'`,;<>(){}\[\].]"
+WIDE = rf"(?<={NAMED}){VALUE}|{CANDIDATE}"
 BEFORE, AFTER = 40, 20
 MASK = "[SECRET]"
 
 #: Words that stand in code and prose, in text of keys, beside keys, and beside other long strings.
 DICTIONARY = "about above account after again apple application archive article assets backup before blog book build cache card cat center change channel chapter class client cloud code color command common company config content control copy country course data database date default demo design detail device dialog document domain download email english error event example export false family field file final first folder font form format forum free from function gallery game general global green group guide have header help history home host house html icon image import index info input install item java journal june label language large last layout learn level library light line link linux list live local login mail main make manager march market master media member menu message method mobile model module money month more music name network news next node note number object office online open option order other output page paper part password path people phone photo picture plan play plugin point policy post press price print private process product profile program project public query question random read record release remote report request resource result review room root sample school science script search section server service session setting share shop short show simple site size small social source space sport standard start state static status store story street string style support system table team template test text theme this time title token tool topic total travel true type update upload user value version video view water week with word work world write year".split()
 BIGRAMS = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur".split()
+SYLLABLES = "ba ko mi tu re lan dor vis pel gan shu ter qua zim fo jer hud wex ny clo bri sta gru plo vek sol dam hin".split()
 KEYWORDS = "key token secret passw pwd auth credential bearer private apikey access_id signature"
 OTHER_WORDS = "commit sha1 sha256 md5 hash digest checksum uuid guid version revision id ref branch build http www file path image href src isbn doi order invoice example"
 
@@ -72,7 +81,9 @@ def labelled_findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
     h = F.sha2(F.concat(F.lit("finding"), F.col("id").cast("string")), 256)
     b64 = F.regexp_replace(F.base64(F.unhex(h)), "=", "")
     pick = lambda words, salt: F.element_at(F.array(*[F.lit(w) for w in words]), (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(len(words))) + 1).cast("int"))
-    word = lambda salt: pick(DICTIONARY, salt)
+    # half of the words are in no dictionary, so that coverage alone doesn't tell labels apart
+    made = lambda salt: F.concat(*[pick(SYLLABLES, salt + part) for part in (100, 200, 300)])
+    word = lambda salt: F.when(F.pmod(F.xxhash64("id", F.lit(salt + 400)), F.lit(2)) == 0, pick(DICTIONARY, salt)).otherwise(made(salt))
     number = F.pmod(F.xxhash64("id", F.lit(99)), F.lit(9000)) + 10
     date = F.concat(F.lit("20"), F.lpad(F.pmod(number, F.lit(30)).cast("string"), 2, "0"), F.lit("-0"), (F.pmod(number, F.lit(9)) + 1).cast("string"), F.lit("-1"), F.pmod(number, F.lit(10)).cast("string"))
     uuid = F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12))
@@ -84,7 +95,7 @@ def labelled_findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
     others = [
         F.concat(word(1), F.lit("."), F.lpad(F.pmod(number, F.lit(100)).cast("string"), 2, "0")), F.concat(word(1), word(2), number.cast("string")), F.concat_ws("-", word(1), word(2), word(3), number.cast("string")),
         F.concat(word(1), F.lit("/"), word(2), F.lit("/"), number.cast("string"), F.lit(".html")), F.concat(date, F.lit("-"), word(1)), F.concat(word(1), F.lit("_"), word(2), F.lit("_v"), F.pmod(number, F.lit(9)).cast("string")),
-        F.substring(h, 1, 40), uuid, h, F.substring(h, 1, 32), F.concat(F.lit("mail"), F.pmod(number, F.lit(10)).cast("string"), F.lit(".example.com")), F.concat(word(1), F.lit("="), number.cast("string"), F.lit("."), word(2)),
+        F.substring(h, 1, 40), uuid, h, F.substring(h, 1, 32), F.concat(F.lit("mail"), F.pmod(number, F.lit(10)).cast("string"), F.lit(".example.com")), F.concat(word(1), F.lit("."), number.cast("string"), F.lit("."), word(2)),
     ]
     key_before = ['token = "', 'api_key="', "secret: ", 'password = "', "AUTH_TOKEN=", 'private_key: "', "Authorization: Bearer ", 'client_secret = "', "access key ", "credentials: ", "'apiKey': '", "passwd="]
     bare_before = ["see ", "was the ", "at ", "and then ", "In the ", "/", "by ", "to "]
@@ -93,13 +104,19 @@ def labelled_findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
     of = lambda options: F.element_at(F.array(*options), (k + 1).cast("int"))
     base = spark.range(rows)
     quoted = lambda before: F.when(before.rlike("\"$"), F.lit('" ')).when(before.rlike("'$"), F.lit("',")).otherwise(F.lit(" "))
-    yes_before = F.concat(word(5), F.lit(" "), F.when((k >= 6) & (k <= 10) & (F.col("id") % 4 == 0), pick(bare_before, 8)).otherwise(pick(key_before, 8)))
-    yes = base.filter("id % 2 = 0").select(of(keys).alias("value"), yes_before.alias("before"), quoted(yes_before).alias("after"), F.lit(1.0).alias("label"))
+    # behind a name and an assignment: pass phrases and short keys, against plain words, names and placeholders
+    letters = F.regexp_replace(b64, "[^A-Za-z]", "")
+    named_keys = [F.concat(F.initcap(word(1)), F.initcap(word(2)), F.initcap(word(3)), F.initcap(word(4))), F.substring(h, 1, 10), F.concat(F.initcap(word(1)), number.cast("string"), F.lit("!")), F.substring(letters, 1, 20)]
+    named_words = [F.rpad(word(1), 8, "s"), F.concat(word(1), F.lit("_"), word(2)), F.concat(F.lit("your-"), word(1), F.lit("-"), word(2)), F.concat(word(1), F.lit("."), word(2), F.lit("()"))]
+    named = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(4)) == 0
+    which = lambda options: F.element_at(F.array(*options), (F.pmod(F.xxhash64("id", F.lit(12)), F.lit(len(options))) + 1).cast("int"))
+    yes_before = F.concat(word(5), F.lit(" "), F.when(~named & (k >= 6) & (k <= 10) & (F.col("id") % 4 == 0), pick(bare_before, 8)).otherwise(pick(key_before, 8)))
+    yes = base.filter("id % 2 = 0").select(F.when(named, which(named_keys)).otherwise(of(keys)).alias("value"), yes_before.alias("before"), quoted(yes_before).alias("after"), F.lit(1.0).alias("label"))
     hashed = (k >= 6) & (k <= 9)
     # a few plain words stand behind a key word too: the word alone doesn't make a secret
-    no_before = F.concat(word(6), F.lit(" "), F.when(hashed, pick(hash_before, 9)).when(F.col("id") % 10 == 1, pick(key_before, 10)).otherwise(pick(bare_before, 10)))
-    no_after = F.when(k == 0, F.concat(F.lit("@mail"), number.cast("string"), F.lit(".example.com"))).otherwise(quoted(no_before))
-    no = base.filter("id % 2 = 1").select(of(others).alias("value"), no_before.alias("before"), no_after.alias("after"), F.lit(0.0).alias("label"))
+    no_before = F.concat(word(6), F.lit(" "), F.when(named, pick(key_before, 10)).when(hashed, pick(hash_before, 9)).when(F.col("id") % 10 == 1, pick(key_before, 10)).otherwise(pick(bare_before, 10)))
+    no_after = F.when(~named & (k == 0), F.concat(F.lit("@mail"), number.cast("string"), F.lit(".example.com"))).otherwise(quoted(no_before))
+    no = base.filter("id % 2 = 1").select(F.when(named, which(named_words)).otherwise(of(others)).alias("value"), no_before.alias("before"), no_after.alias("after"), F.lit(0.0).alias("label"))
     return yes.unionByName(no)
 
 
@@ -111,28 +128,27 @@ def train(findings: DataFrame, trees: int = 20, depth: int = 6, seed: int = 5) -
 
 
 def forest(model: RandomForestClassificationModel, feature) -> Column:
-    """The share of trees that vote for label 1, as an expression; feature(k) is the column of feature k."""
-
-    def branch(lines: list[tuple[int, str]], at: int) -> tuple[Column, int]:
-        depth, line = lines[at]
-        if line.startswith("Predict"):
-            return F.lit(float(line.split(":")[1])), at + 1
-        m = re.fullmatch(r"If \(feature (\d+) (<=|>) ([-+0-9.eE]+)\)", line)
-        yes, at = branch(lines, at + 1)
-        if lines[at][0] != depth or not lines[at][1].startswith("Else"):
-            raise ValueError(f"unexpected {lines[at][1]!r} in a tree")
-        no, at = branch(lines, at + 1)
-        test = feature(int(m[1])) <= float(m[3]) if m[2] == "<=" else feature(int(m[1])) > float(m[3])
-        return F.when(test, yes).otherwise(no), at
-
-    votes = []
-    for tree in model.trees:
-        lines = [(len(x) - len(x.lstrip()), x.strip()) for x in tree.toDebugString.splitlines()[1:] if x.strip()]
-        votes.append(branch(lines, 0)[0])
-    total = votes[0]
-    for v in votes[1:]:
-        total = total + v
-    return total / len(votes)
+    """The model's probability of label 1, as an expression; feature(k) is the column of feature k.
+
+    The trees' nodes are read from the saved model: `trees * 2 ** (depth + 1)` rows at most.
+    """
+    spark = SparkSession.active()
+    path = shared_path(spark, "secret-forest")
+    model.write().save(path)
+    rows = spark.read.parquet(f"{path}/data").selectExpr(
+        "treeID", "nodeData.id", "nodeData.impurityStats as counts", "nodeData.leftChild as left", "nodeData.rightChild as right",
+        "nodeData.split.featureIndex as feature", "get(nodeData.split.leftCategoriesOrThreshold, 0) as threshold",
+    )
+    nodes = {(r["treeID"], r["id"]): r for r in rows.collect()}
+
+    def branch(tree: int, at: int) -> Column:
+        r = nodes[tree, at]
+        if r["left"] < 0:
+            return F.lit(r["counts"][1] / sum(r["counts"]))
+        return F.when(feature(r["feature"]) <= r["threshold"], branch(tree, r["left"])).otherwise(branch(tree, r["right"]))
+
+    trees = sorted({tree for tree, _ in nodes})
+    return reduce(add, [branch(tree, 0) for tree in trees]) / len(trees)
 
 
 def running(numbers: Column) -> Column:
@@ -164,8 +180,10 @@ def scan(docs: DataFrame, model: RandomForestClassificationModel, least: float =
     """
     kept = [c for c in docs.columns if c not in ("findings", "clean_text") and not c.startswith("_")]
     body = F.coalesce("text", F.lit(""))
-    out = docs.select(*kept, F.regexp_extract_all(body, F.lit(CANDIDATE), F.lit(0)).alias("_values"))
-    parts = F.when(F.size("_values") > 0, F.split(body, CANDIDATE, -1)).otherwise(F.array().cast("array<string>"))
+    # looking behind every place is dear, and of no use in a text without a named value
+    named = body.rlike(NAMED)
+    out = docs.select(*kept, F.when(named, F.regexp_extract_all(body, F.lit(WIDE), F.lit(0))).otherwise(F.regexp_extract_all(body, F.lit(CANDIDATE), F.lit(0))).alias("_values"))
+    parts = F.when(F.size("_values") > 0, F.when(named, F.split(body, WIDE, -1)).otherwise(F.split(body, CANDIDATE, -1))).otherwise(F.array().cast("array<string>"))
     out = out.withColumn("_parts", parts)
     n = F.size("_values")
     zipped = F.arrays_zip(F.col("_values").alias("v"), F.slice("_parts", 1, n).alias("b"), F.slice("_parts", 2, n).alias("a"))

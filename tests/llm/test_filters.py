@@ -220,15 +220,26 @@ def test_secrets(spark):
     for r in out.values():
         for f in r["findings"] or []:
             assert dict(rows)[r["doc_id"]][f["start"] : f["start"] + len(f["value"])] == f["value"]
-    # the expression votes as the model does
+    # the expression gives the model's own probabilities
     sample = secret_scan.labelled_findings(spark, 400).select(*secret_scan.measured(F.col("value"), F.col("before"), F.col("after")), "label")
     got = sample.select("label", secret_scan.forest(model, lambda k: F.col(secret_scan.FEATURES[k])).alias("p"), *secret_scan.FEATURES).toPandas()
-    assert ((got["p"] >= 0.5) == (got["label"] == 1)).mean() >= 0.95
+    assert ((got["p"] >= 0.5) == (got["label"] == 1)).mean() >= 0.9
     from pyspark.ml.linalg import Vectors
 
-    for row in got.head(40).itertuples():
-        votes = model.predictRaw(Vectors.dense([getattr(row, f) for f in secret_scan.FEATURES]))
-        assert abs(votes[1] / sum(votes) - row.p) < 0.2  # the model weighs leaves by their purity, the expression counts votes
+    for row in got.head(60).itertuples():
+        assert abs(model.predictProbability(Vectors.dense([getattr(row, f) for f in secret_scan.FEATURES]))[1] - row.p) < 1e-9
+
+
+def test_secrets_behind_a_name(spark):
+    model = secret_scan.train(secret_scan.labelled_findings(spark))
+    secrets = ['password = "CorrectHorseBatteryStaple"', 'api_key="a1b2c3d4e5"', "AUTH_TOKEN=9f86d081884c7d659a2feaa0c55ad015a3bf4f1b", "passwd: Winter2024!"]
+    plain = ["password: required", "token = identifier", "the key: somewhere", "see /usr/share/doc/readme-2024.txt now"]
+    rows = [(k, "Then " + x + " and more") for k, x in enumerate(secrets + plain)]
+    out = {r["doc_id"]: r for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    for k, x in rows:
+        found = [f["value"] for f in out[k]["findings"] if f["secret"]]
+        assert len(found) == (k < len(secrets)), (x, out[k]["findings"])
+        assert not found or secrets[k].rstrip('"').endswith(found[0]) and not any(c in found[0] for c in '="')
 
 
 def test_running_sums(spark):

@@ -11,11 +11,21 @@ from pyspark.sql import functions as F
 from quillframe.llm.common import SPACES, replaced, words
 
 SYMBOLS = "#*$%&|<>"
-#: What marks a line of navigation and one of boilerplate.
-NAVIGATION = r"(?i)^\W*(home|menu|login|log in|sign in|sign up|subscribe|next|previous|share|read more|skip to content|back to top|contact us|about us|site map)\b.{0,20}$"
-BOILERPLATE = ("all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service", "enable javascript", "licensed under the", "copyright (c)")
-#: A window's place and hash share a long: bits for the place, the rest for the hash. Longer texts are sorted as pairs instead.
-PLACE_BITS = 17
+#: What marks a line of navigation and one of boilerplate, in English, German, French and Spanish.
+NAVIGATION = r"^\W*(home|menu|login|log in|sign in|sign up|subscribe|next|previous|share|read more|skip to content|back to top|contact us|about us|site map|startseite|anmelden|abmelden|registrieren|abonnieren|weiter|zurück|teilen|weiterlesen|mehr lesen|zum inhalt springen|nach oben|kontakt|über uns|accueil|connexion|se connecter|s'inscrire|s'abonner|suivant|précédent|partager|lire la suite|en savoir plus|aller au contenu|haut de page|contactez-nous|à propos|plan du site|inicio|menú|iniciar sesión|registrarse|suscribirse|siguiente|anterior|compartir|leer más|ir al contenido|volver arriba|contacto|sobre nosotros|mapa del sitio)(?:$|[^\w].{0,20}$)"
+BOILERPLATE = (
+    "all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service", "enable javascript", "licensed under the", "copyright (c)",
+    "alle rechte vorbehalten", "cookie-richtlinie", "datenschutzerklärung", "nutzungsbedingungen", "javascript aktivieren",
+    "tous droits réservés", "politique de confidentialité", "politique de cookies", "conditions d'utilisation", "activer javascript",
+    "todos los derechos reservados", "política de privacidad", "política de cookies", "condiciones de uso", "active javascript",
+)
+#: A line ends with one of these; a line of LONG words or more may have its end mark anywhere, as when its end was cut off.
+END = r"[.!?:;\")\]»…。！？：；」』）]\s*$"
+END_WITHIN = r"[.!?…](\s|$)|[。！？]"
+LONG = 10
+#: A window's place and hash share a long: bits for the place, the rest for the hash. Longer texts are sorted as pairs with whole hashes;
+#: either way one text in some 1e9 has two windows that differ and are held to be equal.
+PLACE_BITS = 11
 
 
 def _count(text: Column, chars: str) -> Column:
@@ -29,7 +39,7 @@ def line_fails(line: Column, n_words: Column, symbols: Column, bangs: Column, te
     where it doesn't, its lines need no look.
     """
     chars = F.length(line)
-    unfinished = (n_words < 3) & ~line.rlike(r"[.!?:;\")\]»…]\s*$")
+    unfinished = ~line.rlike(END) & ((n_words < LONG) | ~line.rlike(END_WITHIN))
     shouting = (chars >= 20) & ~line.rlike("[a-z]") & line.rlike("[A-Z]")
     boilerplate = F.lit(False)
     for term in BOILERPLATE:
@@ -39,7 +49,7 @@ def line_fails(line: Column, n_words: Column, symbols: Column, bangs: Column, te
         | (symbols & ((10 * _count(line, SYMBOLS) > chars) | ((_count(line, "|") >= 2) & (3 * _count(line, "|") >= n_words))))
         | shouting
         | (bangs & (chars >= 20) & (20 * _count(line, "!") > chars))
-        | ((chars < 60) & line.rlike(NAVIGATION))
+        | ((chars < 60) & line.rlike("(?iu)" + NAVIGATION))
         | (terms & boilerplate)
     )
 

@@ -115,15 +115,16 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
-#: A line's rules, as quality_rules.line_fails has them.
-_LINE_FAILS = r"""
-  (n < 3 AND NOT regexp_matches(l, '[.!?:;")\]»…]\s*$'))
+#: A line's rules, as quality_rules.line_fails has them; the lists of fixed values and the end marks are the same.
+_SQL = {k: getattr(quality_rules, k).replace("'", "''") for k in ("NAVIGATION", "END", "END_WITHIN")}
+_LINE_FAILS = rf"""
+  (NOT regexp_matches(l, '{_SQL["END"]}') AND (n < 10 OR NOT regexp_matches(l, '{_SQL["END_WITHIN"]}')))
   OR 10 * (length(l) - length(translate(l, '#*$%&|<>', ''))) > length(l)
   OR (length(l) - length(replace(l, '|', '')) >= 2 AND 3 * (length(l) - length(replace(l, '|', ''))) >= n)
   OR (length(l) >= 20 AND regexp_matches(l, '[A-Z]') AND NOT regexp_matches(l, '[a-z]'))
   OR (length(l) >= 20 AND 20 * (length(l) - length(replace(l, '!', ''))) > length(l))
-  OR (length(l) < 60 AND regexp_matches(l, '(?i)^\W*(home|menu|login|log in|sign in|sign up|subscribe|next|previous|share|read more|skip to content|back to top|contact us|about us|site map)\b.{0,20}$'))
-  OR regexp_matches(lower(l), 'all rights reserved|cookie policy|privacy policy|terms of use|terms of service|enable javascript|licensed under the|copyright \(c\)')
+  OR (length(l) < 60 AND regexp_matches(l, '(?i){_SQL["NAVIGATION"]}'))
+  OR {" OR ".join("contains(lower(l), '" + term.replace("'", "''") + "')" for term in quality_rules.BOILERPLATE)}
 """
 
 ORACLE["op10_line_rules"] = rf"""

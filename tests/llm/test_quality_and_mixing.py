@@ -52,6 +52,14 @@ def test_verdicts(spark):
     assert quality_rules.clean_lines(docs(spark, [])).count() == 0
 
 
+def test_lines_of_four_languages(spark):
+    fails = ["Home", "Startseite", "MENÚ ›", "À propos", "Lire la suite »", "Alle Rechte vorbehalten.", "Conditions d'utilisation.", "Todos los derechos reservados 2024.", "a line of some six words", "one two three four five six seven eight nine ten"]
+    holds = ["A sentence.", "Kontaktfreudig war sie.", "Ein Satz mit Ende!", "这是一句话。", "One sentence ends. The next of them was cut off at its"]
+    lines = [(k, x, "s") for k, x in enumerate(fails + holds)]
+    got = {r["doc_id"]: r["clean_text"] for r in quality_rules.clean_lines(docs(spark, lines)).collect()}
+    assert [got[k] == x for k, x, _ in lines] == [False] * len(fails) + [True] * len(holds)
+
+
 def test_line_rules_query_equals_sql(spark):
     same_as_sql(spark, QUERIES["op10_line_rules"](spark, DATA), ORACLE["op10_line_rules"])
 

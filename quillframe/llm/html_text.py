@@ -16,7 +16,8 @@ from pyspark.sql.types import StringType
 
 from quillframe.llm.common import small_batches
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*)>""", re.S)
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+REST = re.compile(r"""((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
 
 #: What the HTML standard says of elements.
@@ -29,6 +30,8 @@ SAME = {"li": ("li", ("ul", "ol", "menu", "dir")), "dt": ("dt dd", ("dl",)), "dd
 NOT_TEXT = frozenset("nav footer aside form button select dialog menu head object audio video canvas map figure input".split()) - {"figure"}
 BESIDE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|sidebar|side-bar|comments?|commentlist|disqus|cookies?|consent|gdpr|popup|modal|newsletter|subscri\w*|social|sharing|related|recommend\w*|menus?|nav|navbar|navigation|breadcrumbs?|footer|pagination|pager|widgets?|toolbar)(?=$|[\s_-])", re.I)
 UNLIKELY = re.compile(r"(?:^|[\s_-])(?:rail|respond|repl(?:y|ies)|responses|discussion|notices?|alert|overlay|signup|share|header|masthead|topbar|foot|copyright|login|search)(?=$|[\s_-])", re.I)
+#: Parts of names that say where or how something is laid out; an unlikely word counts if its name has no other parts.
+LAYOUT = frozenset("area bar bottom box bubble btn button buttons block col column container content-wrapper divider form global group holder icon icons inner item items left links list main message minimal modal nav outer overlay page panel post row section site text title top right wrap wrapper".split())
 LIKELY = re.compile(r"(?:^|[\s_-])(?:article\w*|post|entry|content|story|main|body|text|blog)(?=$|[\s_-])", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert alertdialog form".split())
 
@@ -38,12 +41,12 @@ DEEPEST = 512
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "parent", "score", "size", "linked", "depth", "holds")
+    __slots__ = ("tag", "attrs", "children", "parent", "score", "size", "linked", "links", "depth", "holds")
 
     def __init__(self, tag: str, attrs: str, parent: "Node | None"):
         self.tag, self.attrs, self.children, self.parent = tag, attrs, [], parent
         self.score = 0.0
-        self.size = self.linked = 0
+        self.size = self.linked = self.links = 0
         self.depth = parent.depth + 1 if parent else 0
         self.holds = False  # an article or main below
 
@@ -51,40 +54,86 @@ class Node:
         return {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(self.attrs)} if "=" in self.attrs else {}
 
 
+def _tag(page: str, at: int, last: int, plain: bool) -> tuple[int, str, str, str, bool]:
+    """The markup at a `<`: (end, slash, name, attributes, whether quotes don't count from here on); name is empty for comments and
+    declarations, end is -1 for a `<` that is text. last: the place of the page's last `>`.
+
+    A quote that is never closed can't hide the end of a tag; from there on tags end at the next `>`, so no part of a page is
+    searched for the end of many tags.
+    """
+    if page.startswith("<!--", at):
+        end = page.find("-->", at + 4)
+        return (len(page) if end < 0 else end + 3), "", "", "", plain
+    if at > last:
+        return -1, "", "", "", plain
+    if page.startswith(("<!", "<?"), at):
+        return page.index(">", at) + 1, "", "", "", plain
+    m = NAME.match(page, at)
+    if not m:
+        return -1, "", "", "", plain
+    rest = None if plain else REST.match(page, m.end())
+    if rest:
+        return rest.end(), m[1], m[2].lower(), rest[1], False
+    end = page.find(">", m.end())
+    if end < 0:
+        return -1, "", "", "", True
+    return end + 1, m[1], m[2].lower(), page[m.end() : end], True
+
+
 def parse(page: str) -> Node:
-    """The element tree; text nodes are strings with references decoded. Open elements close as the HTML standard implies."""
+    """The element tree; text nodes are strings with references decoded. Open elements close as the HTML standard implies.
+
+    Time is linear in the page's length: nesting is bounded, and elements below the bound close for themselves.
+    """
     root = Node("html", "", None)
-    here, at, n = root, 0, len(page)
+    here, at, n, last, plain = root, 0, len(page), page.rfind(">"), False
+    opened: dict[str, int] = {}  # open elements by name
+    beyond: dict[str, int] = {}  # those that lie too deep to be entered
+
+    def left(node: Node) -> Node:
+        """What is open once `node` and all in it is closed."""
+        x = here
+        while x is not node.parent:
+            opened[x.tag] -= 1
+            x = x.parent
+        return x
+
     while at < n:
-        m = TAG.search(page, at)
-        raw = page[at : m.start()] if m else page[at:]
+        less = page.find("<", at)
+        while less >= 0:
+            end, slash, tag, attrs, plain = _tag(page, less, last, plain)
+            if end >= 0:
+                break
+            less = page.find("<", less + 1) if less < last else -1
+        raw = page[at:less] if less >= 0 else page[at:]
         if raw:
             here.children.append(entities.unescape(raw) if "&" in raw else raw)
-        if not m:
+        if less < 0:
             break
-        at = m.end()
-        if not m[2]:
+        at = end
+        if not tag:
             continue
-        tag = m[2].lower()
-        if m[1]:
-            node = here
-            while node is not None and node.tag != tag:
-                node = node.parent
-            if node is not None and node.parent is not None:
-                here = node.parent
+        if here.depth < DEEPEST - 1 and beyond:
+            beyond = {}
+        if slash:
+            if beyond.get(tag):
+                beyond[tag] -= 1
+                continue
+            if opened.get(tag):
+                here = left(_open(here, (tag,), ()))
             continue
-        if tag in ("html", "body") and (tag == "html" or any(x.tag == "body" for x in _line(here))):
+        if tag in ("html", "body") and (tag == "html" or opened.get("body")):
             continue
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and opened.get("p"):
             p = _open(here, ("p",), ("table", "td", "th", "button", "caption"))
             if p is not None:
-                here = p.parent
+                here = left(p)
         if tag in SAME:
             own, stop = SAME[tag]
             same = _open(here, own.split(), stop)
             if same is not None:
-                here = same.parent
-        node = Node(tag, m[3], here)
+                here = left(same)
+        node = Node(tag, attrs, here)
         here.children.append(node)
         if tag in ("article", "main"):
             for x in _line(here):
@@ -92,10 +141,15 @@ def parse(page: str) -> Node:
                     break
                 x.holds = True
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            at = end.end() if end else n
-        elif tag not in VOID and not m[3].endswith("/") and node.depth < DEEPEST:
-            here = node
+            close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
+            end = page.find(">", close.end()) if close else -1
+            at = end + 1 if end >= 0 else n
+        elif tag not in VOID and not attrs.endswith("/"):
+            if node.depth < DEEPEST:
+                here = node
+                opened[tag] = opened.get(tag, 0) + 1
+            else:
+                beyond[tag] = beyond.get(tag, 0) + 1
     return root
 
 
@@ -130,7 +184,14 @@ def unlikely(node: Node) -> bool:
     if node.holds:
         return False  # a wrapper whose class tells of the layout
     name = f"{own.get('class', '')} {own.get('id', '')}"
-    return bool(BESIDE.search(name)) or bool(UNLIKELY.search(name)) and not LIKELY.search(name)
+    return bool(BESIDE.search(name)) or not LIKELY.search(name) and any(_beside(x) for x in name.split())
+
+
+def _beside(name: str) -> bool:
+    """Whether one class or id is an unlikely word, alone or with words of layout: share-bar is, share-price isn't."""
+    parts = [x for x in re.split(r"[_-]+", name) if x]
+    unlikely_parts = [x for x in parts if UNLIKELY.search(x)]
+    return bool(unlikely_parts) and all(x in unlikely_parts or x.lower() in LAYOUT or x.isdigit() for x in parts)
 
 
 def prune(root: Node) -> list[Node]:
@@ -145,6 +206,7 @@ def prune(root: Node) -> list[Node]:
         for x in node.children:
             node.size += len(x.strip()) if isinstance(x, str) else x.size
             node.linked += 0 if isinstance(x, str) else x.size if x.tag == "a" else x.linked
+            node.links += 0 if isinstance(x, str) else x.links + (x.tag == "a")
     return nodes
 
 
@@ -180,14 +242,24 @@ def best(nodes: list[Node]) -> list[Node]:
         return [top]
     least = max(1.0, 0.2 * value(top))
     kept = []
+    like = (top.tag, top.attributes().get("class", ""))
     for x in top.parent.children:
         if isinstance(x, str):
             continue
+        if x is not top and (x.tag, x.attributes().get("class", "")) == like and density(x) < 0.25 and x.size and _sentence(x):
+            kept.append(x)
+            continue
         if x is top or x.tag in ("article", "main") or x in held and value(x) >= least and density(x) < 0.25 or x.tag in ("p", "h1", "h2", "h3") and top.tag not in ("article", "main") and x.size and density(x) < 0.25:
             kept.append(x)
     return kept
 
 
+def _sentence(node: Node) -> bool:
+    """Whether an element ends as a sentence does and isn't a notice of rights."""
+    text = " ".join(blocks([node]))
+    return text.endswith((".", "!", "?", "…", '."', ".”", "。")) and not re.search(r"©|copyright|rights reserved", text, re.I)
+
+
 def blocks(containers: list[Node]) -> list[str]:
     """Text of each block in page order, white space turned into one space, empty blocks left out."""
     out: list[str] = []
@@ -207,8 +279,8 @@ def blocks(containers: list[Node]) -> list[str]:
                 close()
             elif isinstance(x, str):
                 part.append(x)
-            elif x.tag in ("ul", "ol", "dl", "table", "section", "div") and x is not top and density(x) > 0.5 and sum(1 for y in _below(x) if y.tag == "a") > 1:
-                close()  # a list of links
+            elif x is not top and _menu(x):
+                close()
             elif x.tag == "br" or x.tag in ("td", "th"):
                 part.append(" ")
                 todo += x.children[::-1]
@@ -222,12 +294,13 @@ def blocks(containers: list[Node]) -> list[str]:
     return out
 
 
-def _below(node: Node):
-    todo = [node]
-    while todo:
-        x = todo.pop()
-        yield x
-        todo += [y for y in x.children if not isinstance(y, str)]
+def _menu(x: Node) -> bool:
+    """A list of nothing but three or more short links, at the beginning or the end of what it is in."""
+    if x.tag not in ("ul", "ol") or x.links < 3 or density(x) < 0.95 or x.size > 25 * x.links:
+        return False
+    beside = x.parent.children
+    at_edge = lambda order: next(y for y in order if not isinstance(y, str) or not y.isspace()) is x
+    return at_edge(beside) or at_edge(reversed(beside))
 
 
 def main_text(page: str | None) -> str:
@@ -245,8 +318,8 @@ def _main_text(pages: pd.Series) -> pd.Series:
 def extract_main_text(pages: DataFrame, html: str = "html", into: str = "text") -> DataFrame:
     """Adds the main text of each page as column `into` (replacing one of that name); no shuffle, one pass.
 
-    Null or empty html gives the empty string. Whole pages are parsed, whatever their length; nothing of the article is dropped
-    or capped. Rows pass through one to one: repeated rows, null ids and extra columns stay; an empty table stays empty.
+    Null or empty html gives the empty string. Whole pages are parsed in linear time, whatever their length. Of the article only what
+    its tag, role, class or id says is beside it goes, and lists of three or more short links at an edge; nothing is capped. Rows pass through one to one: repeated rows, null ids and extra columns stay; an empty table stays empty.
     """
     small_batches(pages.sparkSession)
     return pages.withColumn(into, _main_text(F.coalesce(F.col(html), F.lit(""))))

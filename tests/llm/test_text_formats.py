@@ -29,6 +29,30 @@ def test_names_of_elements():
     assert html_text.main_text(page) == "T\n\nOne, two."
 
 
+def test_nothing_of_the_article_is_dropped():
+    page = """<body><nav><a href=x>N</a></nav><article><h1>T</h1><p>One, two, three.</p><ul><li><a href=a>First source</a><li><a href=b>Second source</a></ul>
+<p class="share-price">The price, 5.</p><div class="notice-of-intent">We intend, so.</div><div><a href=c>Linked, one.</a> <a href=d>Linked, two.</a></div><div class="share-bar">Tweet</div><p>End.</p>
+<ul class=x><li><a href=1>tag</a><li><a href=2>tig</a><li><a href=3>tog</a></ul></article></body>"""
+    assert html_text.main_text(page).split("\n\n") == ["T", "One, two, three.", "First source", "Second source", "The price, 5.", "We intend, so.", "Linked, one. Linked, two.", "End."]
+    long = "Words, and words, and more of them, for a while, until it ends. " * 8
+    page = f"<body><div>{('<p>' + long + '</p>') * 6}</div><div><p>{long}</p></div><div>Short end.</div><div>© 2024 us.</div></body>"
+    assert html_text.main_text(page).split("\n\n") == [long.strip()] * 7 + ["Short end."]
+
+
+def test_elements_below_the_deepest_close_for_themselves():
+    page = "<article><p>a, b.</p>" + "<div>" * 600 + "<b>deep</b>" + "</div>" * 600 + "<p>after, all.</p></article><footer>f</footer>"
+    assert html_text.main_text(page) == "a, b.\n\ndeep\n\nafter, all."
+
+
+@pytest.mark.parametrize("part", ["<a ", "<aaaa" + "'" * 4, '<a "> y" ', "<!-- ", "</script ", "<script>", "<p>", "<b>", "<div><p>", "&amp;", "<", "< ", "</x>", "<ul><li><a>x</a>", "<table><tr><td>", "x\n"])
+def test_hostile_pages_take_linear_time(part):
+    import time
+
+    begin = time.process_time()
+    html_text.main_text("<script>1</script>" + part * (500_000 // len(part)) + ">")
+    assert time.process_time() - begin < 5
+
+
 def test_long_page_is_whole():
     page = "<body><nav>n</nav><article>" + "".join(f"<p>Paragraph {k}, with words.</p>" for k in range(20_000)) + "</article></body>"
     assert len(html_text.main_text(page).split("\n\n")) == 20_000

@@ -114,10 +114,10 @@ def clean_lines(docs: DataFrame, text: str = "text", max_lost: int = 50, min_wor
     """
     out = measure(docs.select(*[c for c in docs.columns if c not in ADDED and not c.startswith("_")]), text)
     body = F.coalesce(F.col(text), F.lit(""))
-    low = F.lower(body)
+    out = out.withColumn("_low", F.lower(body))  # a column of its own, so that it is computed once, not for each term
     terms = F.lit(False)
     for term in BOILERPLATE:
-        terms = terms | low.contains(term)
+        terms = terms | F.col("_low").contains(term)
     # one number, used three times: the optimizer then keeps it out of the lambda, where it would be computed anew for each line
     out = out.withColumn("_flags", F.when(F.col("n_symbols") > 0, 1).otherwise(0) + F.when(body.contains("!"), 2).otherwise(0) + F.when(terms, 4).otherwise(0))
     flag = lambda bit: F.col("_flags").bitwiseAND(bit) > 0
@@ -130,4 +130,4 @@ def clean_lines(docs: DataFrame, text: str = "text", max_lost: int = 50, min_wor
         "clean_text": F.array_join("_lines", "\n"),
     })
     out = out.withColumn("kept", ~F.col("base_failed") & (100 * F.col("lost_words") <= max_lost * F.col("n_words")))
-    return out.drop("_counted", "_good", "_lines", "_flags")
+    return out.drop("_counted", "_good", "_lines", "_flags", "_low")

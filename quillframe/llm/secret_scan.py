@@ -181,8 +181,9 @@ def scan(docs: DataFrame, model: RandomForestClassificationModel, least: float =
     kept = [c for c in docs.columns if c not in ("findings", "clean_text") and not c.startswith("_")]
     body = F.coalesce("text", F.lit(""))
     # looking behind every place is dear, and of no use in a text without a named value
-    named = body.rlike(NAMED)
-    out = docs.select(*kept, F.when(named, F.regexp_extract_all(body, F.lit(WIDE), F.lit(0))).otherwise(F.regexp_extract_all(body, F.lit(CANDIDATE), F.lit(0))).alias("_values"))
+    out = docs.select(*kept, body.rlike(NAMED).alias("_named"))
+    named = F.col("_named")
+    out = out.select(*kept, "_named", F.when(named, F.regexp_extract_all(body, F.lit(WIDE), F.lit(0))).otherwise(F.regexp_extract_all(body, F.lit(CANDIDATE), F.lit(0))).alias("_values"))
     parts = F.when(F.size("_values") > 0, F.when(named, F.split(body, WIDE, -1)).otherwise(F.split(body, CANDIDATE, -1))).otherwise(F.array().cast("array<string>"))
     out = out.withColumn("_parts", parts)
     n = F.size("_values")

@@ -6,7 +6,8 @@ full shingle sets, and only a spanning forest of a job's links leaves it, so no
 
 What a node still has to find are links between different components. Members of a large node meet the nearest of eight pivots, in
 blocks that are compared exhaustively, and components are taken of all links so far. A node of one component is done. One with few
-members outside its largest component compares these with all of the node, block by block, which is linear in the node. The others
+members outside its largest component compares these with all of the node, block by block, which is linear in the node; nodes with the
+same largest component do so as one where they overlap. The others
 branch on, with longer signatures. A pair at the threshold has more than one common child a node on average and members of lesser similarity fewer, so neither
 does recall fall nor do rows grow with the depth.
 """
@@ -287,8 +288,27 @@ def _sharpen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"id": b["id"], "f1": [fingerprint(s)[0] for s in sets], "brief": [brief(signature(s, WIDE)) for s in sets]})
 
 
+def _pooled(state: DataFrame, nodes: DataFrame, size: int, tasks: int) -> tuple[DataFrame, DataFrame]:
+    """state (path, id, label) and nodes (path, top, n, most) with nodes of one top label put together where that makes fewer rows.
+
+    Roots hold much the same members of a large group, and each would compare these again. A pool holds all members of its nodes, so
+    whatever meets in one of them meets in the pool.
+    """
+    state, nodes = state.select("path", "id", "label"), nodes.select("path", "top", "n", "most")
+    outside = F.col("n") - F.col("most")
+    made = outside * F.ceil(F.col("n") / size) + F.col("n") * F.ceil(outside / size)
+    apart = nodes.groupBy("top").agg(F.sum(made).alias("apart"), F.count("*").alias("nodes")).filter("nodes > 1").coalesce(tasks)
+    under = state.join(nodes.select("path", "top"), "path").coalesce(tasks).join(apart.select("top"), "top", "left_semi").select("top", "id", "label").distinct()
+    under = stored(under.coalesce(tasks), "minhash-under")
+    pools = under.groupBy("top").agg(F.count("*").alias("n"), F.count_if(F.col("label") == F.col("top")).alias("most")).coalesce(tasks).join(apart, "top")
+    pools = stored(pools.filter(made <= F.col("apart")).select(F.xxhash64("top", F.lit(7)).alias("path"), "top", "n", "most").coalesce(tasks), "minhash-pools")
+    state = state.unionByName(under.join(pools.select("path", "top"), "top").coalesce(tasks).select("path", "id", "label"))
+    return state, nodes.join(pools.select("top"), "top", "left_anti").unionByName(pools)
+
+
 def _cells(state: DataFrame, nodes: DataFrame, size: int, tasks: int) -> DataFrame:
     """Rows (path, id) that bring together, in each node (path, top, n, most), what isn't labelled top and all of the node, in blocks."""
+    state, nodes = _pooled(state, nodes, size, tasks)
     pick = lambda seed, n: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     dealt = state.join(nodes.withColumns({"chunks": F.ceil((F.col("n") - F.col("most")) / size).cast("int"), "blocks": F.ceil(F.col("n") / size).cast("int")}), "path").coalesce(tasks)

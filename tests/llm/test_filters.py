@@ -104,6 +104,22 @@ def test_near_duplicates_links_across_a_ring_of_any_size(spark):
     assert {r["doc_id"]: r["component_id"] for r in duplicates(spark, rows, 24)} == label
 
 
+def test_near_duplicates_nodes_of_one_group_are_compared_once(spark):
+    """Nodes of a group overlap: together they make the rows of one, and each pair that met in a node and is not all of the top still meets."""
+    rng = random.Random(13)
+    label = {i: 0 if i < 300 else i for i in range(340)} | {i: 1000 if i < 1100 else i for i in range(1000, 1110)}
+    nodes = {p: rng.sample(range(300), 280) + rng.sample(range(300, 340), 35) for p in range(14)}
+    nodes |= {20 + p: [*range(1000 + 40 * p, 1040 + 40 * p), 1100 + p] for p in range(2)}  # these have few members in common, as one they would make more rows
+    state = spark.createDataFrame([(p, i, label[i]) for p, ids in nodes.items() for i in ids], "path long, id long, label long")
+    top = spark.createDataFrame([(p, 0 if p < 20 else 1000, len(ids), sum(label[i] in (0, 1000) for i in ids)) for p, ids in nodes.items()], "path long, top long, n long, most long")
+    cells = {}
+    for r in minhash._cells(state, top, 16, 4).collect():
+        cells.setdefault(r["path"], set()).add(r["id"])
+    assert sum(map(len, cells.values())) <= 2 * (40 * 22 + 340 * 3) < 14 * 315 * 3
+    met = {x for ids in cells.values() for x in itertools.combinations(sorted(ids), 2)}
+    assert all(label[a] == label[b] or (a, b) in met for ids in nodes.values() for a, b in itertools.combinations(sorted(ids), 2))
+
+
 def test_overlaps_of_all_pairs():
     rng = random.Random(4)
     sets = [set(rng.sample(range(20_000), rng.choice([0, 1, 500, 9000]))) for _ in range(12)]

@@ -37,12 +37,27 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{root if ':' in root.split('/')[0] else 'file://' + root}/{name}-{uuid.uuid4().hex}"
 
 
+#: Whether Spark removes a query's shuffle files when it has ended, not when the driver happens to collect its garbage.
+FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df to a table in the shared folder and reads it back: lineage is cut and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return stored_parts([df], name)
+
+
+def stored_parts(parts: list[DataFrame], name: str, freed: bool = False) -> DataFrame:
+    """Writes frames of one schema to one table, one after the other. freed: shuffle files of one are gone before the next."""
+    spark = parts[0].sparkSession
+    path, before = shared_path(spark, name), spark.conf.get(FILE_CLEANUP)
+    try:
+        if freed:
+            spark.conf.set(FILE_CLEANUP, "true")
+        for df in parts:
+            df.write.mode("append").option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(FILE_CLEANUP, before)
+    return spark.read.schema(parts[0].schema).parquet(path)
 
 
 def replaced(text: Column, chars: str, by: str = "") -> Column:

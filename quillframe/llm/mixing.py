@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import stored, words
+from quillframe.llm.common import stored, stored_parts, words
 
 #: Primes over 2**31.
 PRIMES = (2147483659, 2147483693, 2147483713, 2147483743, 2147483777, 2147483783, 2147483813, 2147483857)
@@ -18,6 +18,8 @@ PRIMES = (2147483659, 2147483693, 2147483713, 2147483743, 2147483777, 2147483783
 BROADCAST_SOURCES = 20_000
 #: Buckets whose totals one window adds up.
 GROUP = 2048
+#: Rounds in which pieces go to the shards; each reads what all texts give and shuffles the part of its shards.
+ROUNDS = 2
 
 
 def source_targets(sized: DataFrame, weights=(5, 2, 1), cap: int = 3) -> DataFrame:
@@ -147,33 +149,44 @@ def mix_sources(docs: DataFrame, weights=(5, 2, 1), cap: int = 3, block_words: i
 
     # A permutation goes from a pass's blocks to its slots, so a text that knows its place computes the slots of all its blocks, is cut
     # there, and its pieces meet those of other documents at (source, slot): blocks are joined by index without a table of blocks.
-    # A piece goes with where it begins in its source's part of the mix, slot * block_words + offset, and the row that it comes from
+    # A piece goes with where it begins in its source's part of the mix, slot * block_words + offset, and the row that it comes from.
+    # Pieces that a pass takes are stored once, with their places in all passes, and go to the shards in rounds, each of some shards:
+    # by then the texts' shuffle is gone from disk, and of the pieces' shuffle one round is there at a time
     B, at, end, n_blocks = F.lit(block_words).cast("long"), F.col("at"), F.col("at") + F.col("size"), F.col("blocks")
 
     def pieces(w):
-        def piece(block, p):
+        def piece(block):
             first = F.greatest(at, block * B)
-            return F.struct((slot_of(block, p, n_blocks) * B + first - block * B).alias("pos"), (first - at + 1).cast("int").alias("begin"), (F.least(end, (block + 1) * B) - first).cast("int").alias("n"))
+            places = F.transform("passes", lambda p: slot_of(block, p, n_blocks) * B + first - block * B)
+            return F.struct(F.filter(places, lambda pos: pos < F.col("quota") * B).alias("places"), (first - at + 1).cast("int").alias("begin"), (F.least(end, (block + 1) * B) - first).cast("int").alias("n"))
 
         own = F.sequence(F.floor(at / B), F.floor((end - 1) / B))
-        taken = F.filter(F.flatten(F.transform(own, lambda block: F.transform("passes", lambda p: piece(block, p)))), lambda x: x["pos"] < F.col("quota") * B)
-        return F.transform(taken, lambda x: F.struct(x["pos"].alias("pos"), F.array_join(F.slice(w, x["begin"], x["n"]), " ").alias("text")))
+        taken = F.filter(F.transform(own, piece), lambda x: F.size(x["places"]) > 0)
+        return F.transform(taken, lambda x: F.struct(x["places"].alias("places"), F.array_join(F.slice(w, x["begin"], x["n"]), " ").alias("text")))
 
     # the planner takes a filtered table for small; the hint keeps it from broadcasting texts or places
     cuts = texts.hint("merge").join(placed, ["k1", "k2"])
     # split once a text, as the variable of an outer lambda
     cuts = cuts.select("source_id", "row", F.explode(F.flatten(F.transform(F.array(words(F.col("text"))), pieces))).alias("x")).select("source_id", "row", "x.*")
-    slot = F.floor(F.col("pos") / B)
-    shard = F.pmod(F.xxhash64("source_id", slot, F.lit(seed + 1)), F.lit(shards))
-    cuts = cuts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), shard).withColumns({"shard": shard, "slot": slot})
-    mixed = cuts.groupBy("shard", "source_id", "slot").agg(F.sort_array(F.collect_list(F.struct("pos", "row", "text"))).alias("_x"))
-    mixed = mixed.withColumn("tokens", F.split(F.array_join("_x.text", " "), " ", -1)).withColumn("_end", F.col("slot") * B + F.size("tokens"))
-    mixed = mixed.join(small(per_pass.select("source_id", "blocks", "passes")), "source_id").withColumn("_p", F.get("passes", F.floor(F.col("slot") / n_blocks).cast("int")))
-    mixed = mixed.select(
-        "shard", "source_id", "slot", "_p.pass", block_of(F.col("slot"), F.col("_p"), n_blocks).alias("block"), "tokens",
-        F.transform("_x", lambda x, k: F.struct(x["row"].alias("row"), (F.coalesce(F.get("_x", k + 1)["pos"], F.col("_end")) - x["pos"]).cast("int").alias("n"))).alias("parts"),
-    )
-    slots = stored(mixed.sortWithinPartitions("shard", F.xxhash64("source_id", "slot", F.lit(seed + 2)), "source_id", "slot"), "mix-shards")
+    cuts = stored_parts([cuts], "mix-cuts", freed=True)
+    slot_at = lambda pos: F.floor(pos / B)
+    shard_at = lambda pos: F.pmod(F.xxhash64("source_id", slot_at(pos), F.lit(seed + 1)), F.lit(shards))
+    rounds = min(ROUNDS, shards)
+    tasks = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // rounds)
+
+    def mixed(k):
+        moved = cuts.select("source_id", "row", "text", F.explode(F.filter("places", lambda pos: F.pmod(shard_at(pos), F.lit(rounds)) == k)).alias("pos"))
+        moved = moved.repartition(tasks, shard_at(F.col("pos"))).withColumns({"shard": shard_at(F.col("pos")), "slot": slot_at(F.col("pos"))})
+        m = moved.groupBy("shard", "source_id", "slot").agg(F.sort_array(F.collect_list(F.struct("pos", "row", "text"))).alias("_x"))
+        m = m.withColumn("tokens", F.split(F.array_join("_x.text", " "), " ", -1)).withColumn("_end", F.col("slot") * B + F.size("tokens"))
+        m = m.join(small(per_pass.select("source_id", "blocks", "passes")), "source_id").withColumn("_p", F.get("passes", F.floor(F.col("slot") / n_blocks).cast("int")))
+        m = m.select(
+            "shard", "source_id", "slot", "_p.pass", block_of(F.col("slot"), F.col("_p"), n_blocks).alias("block"), "tokens",
+            F.transform("_x", lambda x, k: F.struct(x["row"].alias("row"), (F.coalesce(F.get("_x", k + 1)["pos"], F.col("_end")) - x["pos"]).cast("int").alias("n"))).alias("parts"),
+        )
+        return m.sortWithinPartitions("shard", F.xxhash64("source_id", "slot", F.lit(seed + 2)), "source_id", "slot")
+
+    slots = stored_parts([mixed(k) for k in range(rounds)], "mix-shards", freed=True)
     taken = slots.select(F.explode("parts").alias("x")).groupBy("x.row").agg(F.sum("x.n").alias("taken"))
     result = (
         sized.join(taken, "row", "left")

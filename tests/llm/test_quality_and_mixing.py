@@ -1,7 +1,9 @@
 import collections
 import math
+import pathlib
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -167,3 +169,22 @@ def test_mix_offsets_over_many_buckets(spark, monkeypatch):
     # all pieces of a block are there: blocks but a source's last are full
     short = slots.filter(F.size("tokens") < 8).select("source_id", "block").distinct().groupBy("source_id").count().collect()
     assert all(r["count"] == 1 for r in short)
+
+
+def test_mix_frees_the_shuffles_of_texts(spark):
+    """When the mix is written, neither the texts' shuffle nor the pieces' is on disk; each shard is in one file, whatever the round."""
+    rng = random.Random(8)
+    rows = [(k, " ".join("%015x" % rng.getrandbits(60) for _ in range(400)), rng.choice("ab")) for k in range(600)]
+    folders = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    shuffled = lambda: {f: f.stat().st_size for d in folders for f in pathlib.Path(d).rglob("shuffle_*.data") if f.exists()}
+    before = shuffled()
+    out, slots = mixing.mix_sources(docs(spark, rows), shard_slots=500)
+    for _ in range(50):  # files go in the background
+        left = sum(n for f, n in shuffled().items() if f not in before)
+        if left < 400_000:
+            break
+        time.sleep(0.1)
+    assert left < 400_000  # the texts have 3.8 MB
+    files = slots.select("shard", F.input_file_name().alias("f")).distinct().collect()
+    assert len(files) == len({r["shard"] for r in files}) > 10
+    assert out.agg(F.sum("taken")).first()[0] == slots.agg(F.sum(F.size("tokens"))).first()[0] > 230_000

@@ -6,9 +6,6 @@ redacted within their row: no shuffle, and no row leaves the JVM.
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add
-
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -77,14 +74,21 @@ def measured(value: Column, before: Column, after: Column) -> list[Column]:
 
 
 def labelled_findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
-    """value, before, after, label: `rows` findings made by rule from hashes. Half are keys in the ways that they are written down."""
+    """value, before, after, label: `rows` findings made by rule from hashes. Half are keys in the ways that they are written down.
+
+    What several columns are made of has a column of its own and lists of words are one constant each, so that the driver has few
+    expressions to hold, plan and compile.
+    """
     h = F.sha2(F.concat(F.lit("finding"), F.col("id").cast("string")), 256)
     b64 = F.regexp_replace(F.base64(F.unhex(h)), "=", "")
-    pick = lambda words, salt: F.element_at(F.array(*[F.lit(w) for w in words]), (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(len(words))) + 1).cast("int"))
+    pick = lambda words, salt: F.element_at(F.split(F.lit("\n".join(words)), "\n", -1), (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(len(words))) + 1).cast("int"))
     # half of the words are in no dictionary, so that coverage alone doesn't tell labels apart
     made = lambda salt: F.concat(*[pick(SYLLABLES, salt + part) for part in (100, 200, 300)])
-    word = lambda salt: F.when(F.pmod(F.xxhash64("id", F.lit(salt + 400)), F.lit(2)) == 0, pick(DICTIONARY, salt)).otherwise(made(salt))
-    number = F.pmod(F.xxhash64("id", F.lit(99)), F.lit(9000)) + 10
+    made_or_known = lambda salt: F.when(F.pmod(F.xxhash64("id", F.lit(salt + 400)), F.lit(2)) == 0, pick(DICTIONARY, salt)).otherwise(made(salt))
+    numbers = {"number": F.pmod(F.xxhash64("id", F.lit(99)), F.lit(9000)) + 10, "k": F.pmod(F.xxhash64("id", F.lit(7)), F.lit(12))}
+    base = spark.range(rows).select("id", h.alias("h"), b64.alias("b64"), *[c.alias(n) for n, c in numbers.items()], *[made_or_known(salt).alias(f"word{salt}") for salt in range(1, 7)])
+    h, b64, number, k = (F.col(n) for n in ("h", "b64", "number", "k"))
+    word = lambda salt: F.col(f"word{salt}")
     date = F.concat(F.lit("20"), F.lpad(F.pmod(number, F.lit(30)).cast("string"), 2, "0"), F.lit("-0"), (F.pmod(number, F.lit(9)) + 1).cast("string"), F.lit("-1"), F.pmod(number, F.lit(10)).cast("string"))
     uuid = F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12))
     keys = [
@@ -100,9 +104,7 @@ def labelled_findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
     key_before = ['token = "', 'api_key="', "secret: ", 'password = "', "AUTH_TOKEN=", 'private_key: "', "Authorization: Bearer ", 'client_secret = "', "access key ", "credentials: ", "'apiKey': '", "passwd="]
     bare_before = ["see ", "was the ", "at ", "and then ", "In the ", "/", "by ", "to "]
     hash_before = ["commit ", "sha256 ", "md5: ", "checksum ", "uuid ", "revision ", "digest: sha256=", "id = ", "build ", "branch "]
-    k = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(12))
     of = lambda options: F.element_at(F.array(*options), (k + 1).cast("int"))
-    base = spark.range(rows)
     quoted = lambda before: F.when(before.rlike("\"$"), F.lit('" ')).when(before.rlike("'$"), F.lit("',")).otherwise(F.lit(" "))
     # behind a name and an assignment: pass phrases and short keys, against plain words, names and placeholders
     letters = F.regexp_replace(b64, "[^A-Za-z]", "")
@@ -111,12 +113,14 @@ def labelled_findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
     named = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(4)) == 0
     which = lambda options: F.element_at(F.array(*options), (F.pmod(F.xxhash64("id", F.lit(12)), F.lit(len(options))) + 1).cast("int"))
     yes_before = F.concat(word(5), F.lit(" "), F.when(~named & (k >= 6) & (k <= 10) & (F.col("id") % 4 == 0), pick(bare_before, 8)).otherwise(pick(key_before, 8)))
-    yes = base.filter("id % 2 = 0").select(F.when(named, which(named_keys)).otherwise(of(keys)).alias("value"), yes_before.alias("before"), quoted(yes_before).alias("after"), F.lit(1.0).alias("label"))
+    yes = base.filter("id % 2 = 0").select(F.when(named, which(named_keys)).otherwise(of(keys)).alias("value"), yes_before.alias("before"))
+    yes = yes.select("value", "before", quoted(F.col("before")).alias("after"), F.lit(1.0).alias("label"))
     hashed = (k >= 6) & (k <= 9)
     # a few plain words stand behind a key word too: the word alone doesn't make a secret
     no_before = F.concat(word(6), F.lit(" "), F.when(named, pick(key_before, 10)).when(hashed, pick(hash_before, 9)).when(F.col("id") % 10 == 1, pick(key_before, 10)).otherwise(pick(bare_before, 10)))
-    no_after = F.when(~named & (k == 0), F.concat(F.lit("@mail"), number.cast("string"), F.lit(".example.com"))).otherwise(quoted(no_before))
-    no = base.filter("id % 2 = 1").select(F.when(named, which(named_words)).otherwise(of(others)).alias("value"), no_before.alias("before"), no_after.alias("after"), F.lit(0.0).alias("label"))
+    no_after = F.when(~named & (k == 0), F.concat(F.lit("@mail"), number.cast("string"), F.lit(".example.com"))).otherwise(quoted(F.col("before")))
+    no = base.filter("id % 2 = 1").select(F.when(named, which(named_words)).otherwise(of(others)).alias("value"), no_before.alias("before"), "id", "number", "k")
+    no = no.select("value", "before", no_after.alias("after"), F.lit(0.0).alias("label"))
     return yes.unionByName(no)
 
 
@@ -130,7 +134,8 @@ def train(findings: DataFrame, trees: int = 20, depth: int = 6, seed: int = 5) -
 def forest(model: RandomForestClassificationModel, feature) -> Column:
     """The model's probability of label 1, as an expression; feature(k) is the column of feature k.
 
-    The trees' nodes are read from the saved model: `trees * 2 ** (depth + 1)` rows at most.
+    The trees' nodes are read from the saved model: `trees * 2 ** (depth + 1)` rows at most. They stand in constant arrays that are
+    walked from the roots, so the expression that the driver plans is as small whatever the number of nodes.
     """
     spark = SparkSession.active()
     path = shared_path(spark, "secret-forest")
@@ -139,16 +144,25 @@ def forest(model: RandomForestClassificationModel, feature) -> Column:
         "treeID", "nodeData.id", "nodeData.impurityStats as counts", "nodeData.leftChild as left", "nodeData.rightChild as right",
         "nodeData.split.featureIndex as feature", "get(nodeData.split.leftCategoriesOrThreshold, 0) as threshold",
     )
-    nodes = {(r["treeID"], r["id"]): r for r in rows.collect()}
-
-    def branch(tree: int, at: int) -> Column:
-        r = nodes[tree, at]
-        if r["left"] < 0:
-            return F.lit(r["counts"][1] / sum(r["counts"]))
-        return F.when(feature(r["feature"]) <= r["threshold"], branch(tree, r["left"])).otherwise(branch(tree, r["right"]))
-
-    trees = sorted({tree for tree, _ in nodes})
-    return reduce(add, [branch(tree, 0) for tree in trees]) / len(trees)
+    nodes = sorted(rows.collect(), key=lambda r: (r["treeID"], r["id"]))
+    place = {(r["treeID"], r["id"]): k for k, r in enumerate(nodes)}
+    inner = [r["left"] >= 0 for r in nodes]
+    constant = lambda values, kind: F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
+    # a leaf leads to itself, on both sides
+    side = lambda name: constant([place[r["treeID"], r[name]] if i else k for k, (r, i) in enumerate(zip(nodes, inner, strict=True))], "int")
+    left, right = side("left"), side("right")
+    chosen = constant([r["feature"] if i else 0 for r, i in zip(nodes, inner, strict=True)], "int")
+    threshold = constant([r["threshold"] if i else 0.0 for r, i in zip(nodes, inner, strict=True)], "double")
+    share = constant([r["counts"][1] / sum(r["counts"]) for r in nodes], "double")
+    roots = [place[tree, 0] for tree in sorted({r["treeID"] for r in nodes})]
+    steps = F.sequence(F.lit(1), F.lit(max(t.depth for t in model.trees) + 1))
+
+    def summed(x: Column) -> Column:
+        step = lambda at, _: F.when(F.get(x, F.get(chosen, at)) <= F.get(threshold, at), F.get(left, at)).otherwise(F.get(right, at))
+        return F.aggregate(constant(roots, "int"), F.lit(0.0), lambda total, root: total + F.get(share, F.aggregate(steps, root, step)))
+
+    # the features are bound to a variable once
+    return F.transform(F.array(F.array(*[feature(k) for k in range(len(FEATURES))])), summed)[0] / len(roots)
 
 
 def running(numbers: Column) -> Column:

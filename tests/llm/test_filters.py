@@ -246,6 +246,16 @@ def test_secrets(spark):
         assert abs(model.predictProbability(Vectors.dense([getattr(row, f) for f in secret_scan.FEATURES]))[1] - row.p) < 1e-9
 
 
+def test_secrets_take_the_driver_small_plans(spark):
+    plan = lambda df: df._jdf.queryExecution().analyzed().toString()
+    findings = secret_scan.labelled_findings(spark)
+    assert plan(findings).count("xxhash64") < 150  # each word was expanded wherever it is used
+    model = secret_scan.train(findings)
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert sum(t.numNodes for t in model.trees) > 500
+    assert plan(secret_scan.scan(empty, model)).count("CASE WHEN") < 20  # every node of the forest was a branch
+
+
 def test_secrets_behind_a_name(spark):
     model = secret_scan.train(secret_scan.labelled_findings(spark))
     secrets = ['password = "CorrectHorseBatteryStaple"', 'api_key="a1b2c3d4e5"', "AUTH_TOKEN=9f86d081884c7d659a2feaa0c55ad015a3bf4f1b", "passwd: Winter2024!"]
